@@ -21,6 +21,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,22 +44,31 @@ def terms_of_word(word: str) -> list[str]:
 
 def _document_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per task: term, texts that hold it by label, occurrences by label."""
-    counts: dict[str, list[int]] = {}
-    out = lambda: pd.DataFrame([(t, *c) for t, c in counts.items()], columns=["term", "pos", "neg", "pos_n", "neg_n"])
+    texts_with, occurrences = (Counter(), Counter()), (Counter(), Counter())
+    kept: dict[str, tuple[str, ...]] = {}
+
+    def terms(word: str) -> tuple[str, ...]:
+        got = kept.get(word)
+        if got is None:
+            got = kept[word] = tuple(terms_of_word(word))
+        return got
+
+    def out() -> pd.DataFrame:
+        every = list(occurrences[0].keys() | occurrences[1].keys())
+        column = lambda c: np.fromiter(map(c.__getitem__, every), np.int64, len(every))
+        return pd.DataFrame({"term": every, "pos": column(texts_with[1]), "neg": column(texts_with[0]), "pos_n": column(occurrences[1]), "neg_n": column(occurrences[0])})
+
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            found: Counter = Counter()
-            for word, n in Counter(_WORD.findall((text or "").lower())).items():
-                for term in terms_of_word(word):
-                    found[term] += n
-            for term, n in found.items():
-                c = counts.setdefault(term, [0, 0, 0, 0])
-                c[1 - toxic] += 1
-                c[3 - toxic] += n
-        if len(counts) > 500_000:
+            found = list(chain.from_iterable(map(terms, _WORD.findall((text or "").lower()))))
+            occurrences[toxic].update(found)
+            texts_with[toxic].update(set(found))
+        if len(kept) > 100_000 or len(occurrences[0]) > 400_000:
             yield out()
-            counts.clear()
-    if counts:
+            for counter in (*texts_with, *occurrences):
+                counter.clear()
+            kept.clear()
+    if occurrences[0] or occurrences[1]:
         yield out()
 
 
