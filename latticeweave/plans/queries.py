@@ -1,6 +1,126 @@
-"""Queries over the driver's tables, and the SQL that gives the same rows."""
+"""Queries over the driver's tables, and the SQL that gives the same rows. Doubles are rounded alike on both sides."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from math import pi
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.pairs import AtomicComposition, CoulombMatrix, NeighborList, SineMatrix, SortedDistances
+from ..operators.symmetry import ACSF, EAD
+from ..sources.structures import LINEITEM_ATOMS, lineitem_structures
+
+SPECIES, CUTOFF, EDGE = (1, 6, 8), 3.5, 12.0
+SYMMETRY = ACSF(SPECIES, CUTOFF, g2=((0.5, 0.0), (1.0, 1.5)), g3=(1.0,), g4=((0.05, 1.0, 1.0), (0.05, 2.0, -1.0)), g5=((0.1, 1.0, 1.0),))
+DENSITY = EAD(L=2, eta=(0.1, 0.5), Rs=(0.0,), Rc=CUTOFF)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _query(make, periodic: bool | None = None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        structures, atoms = lineitem_structures(spark, sf_dir)
+        if periodic is not None:
+            structures = structures.where(F.col("periodic") == periodic)
+            atoms = atoms.join(structures.select("structure_id"), "structure_id", "left_semi")
+        operator = make() if callable(make) else make
+        operator.check(structures)
+        return rounded(operator.plan(structures, atoms))
+
+    return run
+
+
+QUERIES = {
+    "acsf_g2": _query(ACSF(SPECIES, CUTOFF, g2=((0.5, 0.0), (1.0, 1.5)))),
+    "acsf": _query(SYMMETRY),
+    "ead": _query(DENSITY),
+    "atomic_composition": _query(AtomicComposition(SPECIES)),
+    "atomic_composition_per_atom": _query(AtomicComposition(SPECIES, per_system=False)),
+    "neighbor_list": _query(NeighborList(CUTOFF)),
+    "neighbor_list_half": _query(NeighborList(CUTOFF, full_neighbor_list=False, self_pairs=True)),
+    "sorted_distances": _query(SortedDistances(SPECIES, CUTOFF, 4)),
+    "sorted_distances_all": _query(SortedDistances(SPECIES, CUTOFF, 4, separate_neighbor_types=False)),
+    "coulomb_matrix": _query(CoulombMatrix(16, "none")),
+    "coulomb_matrix_sorted": _query(CoulombMatrix(16)),
+    "sine_matrix": _query(SineMatrix(16, "none"), periodic=True),
+}
+
+_ATOMS = "atoms AS (" + LINEITEM_ATOMS.format(lineitem="lineitem") + "\n)"
+_EDGES = f"""{_ATOMS},
+shift AS (SELECT a.s AS sx, b.s AS sy, c.s AS sz FROM (VALUES (-1), (0), (1)) a(s), (VALUES (-1), (0), (1)) b(s), (VALUES (-1), (0), (1)) c(s)),
+every AS (SELECT p.structure_id, p.atom_index AS i, q.atom_index AS j, p.z AS zi, q.z AS zj, sx, sy, sz,
+          q.x + sx * {EDGE} - p.x AS dx, q.y + sy * {EDGE} - p.y AS dy, q.zc + sz * {EDGE} - p.zc AS dz
+          FROM atoms p JOIN atoms q USING (structure_id), shift WHERE (p.structure_id % 2 = 0 OR (sx = 0 AND sy = 0 AND sz = 0))),
+loops AS (SELECT *, dx * dx + dy * dy + dz * dz AS d2 FROM every WHERE dx * dx + dy * dy + dz * dz <= {CUTOFF**2}),
+edges AS (SELECT *, sqrt(d2) AS r, 0.5 * (cos(sqrt(d2) * {pi / CUTOFF!r}) + 1) AS fc, CASE zj WHEN 1 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS t
+          FROM loops WHERE NOT (i = j AND sx = 0 AND sy = 0 AND sz = 0))"""
+_R = "round({0}, 6) + 0.0"
+
+
+def _radial(terms: list[str]) -> str:
+    n = len(terms)
+    parts = [f"SELECT structure_id, i AS atom_index, t * {n} + {k} AS feature, sum({x}) AS value FROM edges GROUP BY ALL" for k, x in enumerate(terms)]
+    return " UNION ALL ".join(parts)
+
+
+_G2 = ["fc", "exp(-0.5 * (r - 0.0) * (r - 0.0)) * fc", "exp(-1.0 * (r - 1.5) * (r - 1.5)) * fc"]
+_ANGULAR = [
+    "2 * power(greatest(0.5 * (1 + c), 0), 1.0) * exp(-0.05 * (d21 + d22 + e2)) * fc1 * fc2 * fc3",
+    "2 * power(greatest(0.5 * (1 - c), 0), 2.0) * exp(-0.05 * (d21 + d22 + e2)) * fc1 * fc2 * fc3",
+    "2 * power(greatest(0.5 * (1 + c), 0), 1.0) * exp(-0.1 * (d21 + d22)) * fc1 * fc2",
+]
+_TRIPLETS = f"""tri AS (SELECT *, CASE WHEN e2 <= {CUTOFF**2} THEN 0.5 * (cos(sqrt(e2) * {pi / CUTOFF!r}) + 1) ELSE 0 END AS fc3 FROM (
+  SELECT a.structure_id, a.i AS atom_index, greatest(a.t, b.t) AS hi, least(a.t, b.t) AS lo, a.d2 AS d21, b.d2 AS d22, a.fc AS fc1, b.fc AS fc2,
+         (a.dx * b.dx + a.dy * b.dy + a.dz * b.dz) / (a.r * b.r) AS c,
+         (b.dx - a.dx) * (b.dx - a.dx) + (b.dy - a.dy) * (b.dy - a.dy) + (b.dz - a.dz) * (b.dz - a.dz) AS e2
+  FROM edges a JOIN edges b ON a.structure_id = b.structure_id AND a.i = b.i AND (a.j, a.sx, a.sy, a.sz) < (b.j, b.sx, b.sy, b.sz)))"""
+_LONG = f"SELECT structure_id, atom_index, feature::INT AS feature, {_R.format('value')} AS value FROM"
+
+
+def _acsf_sql() -> str:
+    angular = " UNION ALL ".join(f"SELECT structure_id, atom_index, 12 + (hi * (hi + 1) // 2 + lo) * 3 + {k} AS feature, sum({x}) AS value FROM tri GROUP BY ALL" for k, x in enumerate(_ANGULAR))
+    return f"WITH {_EDGES}, {_TRIPLETS} {_LONG} ({_radial([*_G2, 'cos(1.0 * r) * fc'])} UNION ALL {angular})"
+
+
+def _ead_sql() -> str:
+    powers = [(a, b, d - a - b) for d in range(3) for a in range(d + 1) for b in range(d - a + 1)]
+    fact = (1, 1, 2)
+    sums, out = [], []
+    for q, eta in enumerate((0.1, 0.5)):
+        sums += [f"sum(zj * fc * exp(-{eta} * r * r) * power(dx, {a}) * power(dy, {b}) * power(dz, {c})) AS m{p}_{q}" for p, (a, b, c) in enumerate(powers)]
+    for d in range(3):
+        for q in range(2):
+            inside = " + ".join(f"m{p}_{q} * m{p}_{q} / {fact[a] * fact[b] * fact[c]}" for p, (a, b, c) in enumerate(powers) if a + b + c <= d)
+            out.append(f"SELECT structure_id, atom_index, {d * 2 + q} AS feature, ({inside}) * {fact[d]} / power({CUTOFF}, {2 * d}) AS value FROM m")
+    return f"WITH {_EDGES}, m AS (SELECT structure_id, i AS atom_index, {', '.join(sums)} FROM edges WHERE d2 > 0 AND d2 < {CUTOFF**2} GROUP BY ALL) {_LONG} ({' UNION ALL '.join(out)})"
+
+
+def _sorted_sql(group: str) -> str:
+    return f"""WITH {_EDGES}, n AS (SELECT structure_id, i, {group} AS g, r, row_number() OVER (PARTITION BY structure_id, i, {group} ORDER BY r) AS k FROM edges),
+g AS (SELECT structure_id, i, g, list(r ORDER BY r) AS rs FROM n WHERE k <= 4 GROUP BY ALL)
+SELECT structure_id, i AS atom_index, (g * 4 + k)::INT AS feature, {_R.format(f'coalesce(rs[k + 1], {CUTOFF})')} AS value FROM g, (VALUES (0), (1), (2), (3)) v(k)"""
+
+
+_PAIRS = f"""WITH {_ATOMS}, p AS (SELECT a.structure_id, a.atom_index AS i, b.atom_index AS j, a.z AS zi, b.z AS zj, a.x - b.x AS dx, a.y - b.y AS dy, a.zc - b.zc AS dz
+FROM atoms a JOIN atoms b USING (structure_id)), m AS (SELECT structure_id, i, j, CASE WHEN i = j THEN 0.5 * power(zi, 2.4) ELSE zi * zj / sqrt(dx * dx + dy * dy + dz * dz) END AS value FROM p)"""
+_NEIGHBORS = f"SELECT structure_id, i, j, sx, sy, sz, {', '.join(f'{_R.format(c)} AS {c}' for c in ('dx', 'dy', 'dz'))}, {_R.format('sqrt(d2)')} AS distance FROM"
+
+ORACLE_SQL = {
+    "acsf_g2": f"WITH {_EDGES} {_LONG} ({_radial(_G2)})",
+    "acsf": _acsf_sql(),
+    "ead": _ead_sql(),
+    "atomic_composition": f"WITH {_ATOMS} SELECT structure_id, CASE z WHEN 1 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS feature, count(*)::DOUBLE AS value FROM atoms GROUP BY ALL",
+    "atomic_composition_per_atom": f"WITH {_ATOMS} SELECT structure_id, atom_index, CASE z WHEN 1 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS feature, count(*)::DOUBLE AS value FROM atoms GROUP BY ALL",
+    "neighbor_list": f"WITH {_EDGES} {_NEIGHBORS} edges",
+    "neighbor_list_half": f"WITH {_EDGES} {_NEIGHBORS} loops WHERE j > i OR (i = j AND CASE WHEN sx <> 0 THEN sx WHEN sy <> 0 THEN sy ELSE sz END >= 0)",
+    "sorted_distances": _sorted_sql("t"),
+    "sorted_distances_all": _sorted_sql("0"),
+    "coulomb_matrix": f"{_PAIRS} SELECT structure_id, (i * 16 + j)::INT AS feature, {_R.format('value')} AS value FROM m",
+    "coulomb_matrix_sorted": f"""{_PAIRS}, n AS (SELECT structure_id, i, row_number() OVER (PARTITION BY structure_id ORDER BY printf('%.12e', sum(value * value))::DOUBLE DESC, i) - 1 AS k FROM m GROUP BY structure_id, i)
+SELECT m.structure_id, (a.k * 16 + b.k)::INT AS feature, {_R.format('value')} AS value FROM m JOIN n a ON m.structure_id = a.structure_id AND m.i = a.i JOIN n b ON m.structure_id = b.structure_id AND m.j = b.i""",
+    "sine_matrix": f"""{_PAIRS}, s AS (SELECT *, {EDGE} * sqrt(power(sin({pi!r} * dx / {EDGE}), 4) + power(sin({pi!r} * dy / {EDGE}), 4) + power(sin({pi!r} * dz / {EDGE}), 4)) AS r FROM p WHERE structure_id % 2 = 0)
+SELECT structure_id, (i * 16 + j)::INT AS feature, {_R.format('CASE WHEN i = j THEN 0.5 * power(zi, 2.4) WHEN r > 1e-14 THEN zi * zj / r ELSE 0 END')} AS value FROM s""",
+}
