@@ -188,7 +188,7 @@ def _long(values: np.ndarray, origin: np.ndarray, forest: Forest) -> None:
     share = bits.mean(axis=0)
     order = np.argsort(np.abs(share - 0.5), kind="stable")
     for quarter in range(RADIUS + 1):
-        key = np.packbits(bits[:, order[quarter :: RADIUS + 1]], axis=1, bitorder="little").view(np.uint16).ravel()
+        key = np.ascontiguousarray(np.packbits(bits[:, order[quarter :: RADIUS + 1]], axis=1, bitorder="little")).view(np.uint16).ravel()
         by = np.argsort(key, kind="stable")
         _, lengths = _runs(key[by])
         inside = np.repeat(lengths > 1, lengths)
