@@ -1,0 +1,300 @@
+"""The training-data operators against brute force, and their defined edge cases."""
+
+import hashlib
+import itertools
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from latticeweave.llm import chat, decontam, lm, mixing, quality, queries, secrets, simhash, tokencount, toxicity, warc
+from latticeweave.llm._common import table
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, doc string, fp string, spans string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, SF, "documents")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing extra columns."""
+    long = "lorem ipsum dolor " * 30_000
+    rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (3, "", None, "", 1), (4, long, "en", "s", 9), (4, long, "en", "s", 9), (5, "one two", "de", None, 2), (5, "é" * 50 + " ü\n\n", "xx", "t", 2), (None, "a b c d e f g h i j k l", "en", "t", 3)]
+    return spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DOC)
+
+
+def run(spark, name, frame, tmp_path, **tables):
+    """A registered query over other tables."""
+    frame.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    for n, t in tables.items():
+        t.write.mode("overwrite").parquet(f"{tmp_path}/{n}.parquet")
+    return queries.QUERIES[name](spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("name", ["op3_lm", "op4_secrets", "op5_tokens", "op6_toxicity", "op7_mixing", "op8_simhash", "op9_quality", "op10_decontam"])
+def test_odd_and_empty_documents(spark, odd, tmp_path, name):
+    extra = {"benchmark": spark.createDataFrame([("q", "lorem ipsum dolor"), (None, None)], "item_id string, text string"), "labels": spark.createDataFrame([(1, None, 1), (4, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")}
+    got = run(spark, name, odd, tmp_path, **extra).toPandas()
+    assert len(got) == odd.count()
+    assert sorted(map(str, got.doc_id.astype("Int64"))) == sorted(str(r.doc_id) if r.doc_id is not None else "<NA>" for r in odd.collect())
+    assert run(spark, name, odd.limit(0), tmp_path, **extra).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    big = "x" * 1500
+    rows = [(1, "u", big), (2, None, big), (2, None, big), (3, "v", "small"), (4, "w\r\nX: y", "small"), (5, "n", None), (None, "k", big), (7, "r", "a\r\n\r\nb")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.archived(pages, str(tmp_path / "a")).collect()}
+    assert got[1].record_type == "revisit" and got[1].refers_to == 2 and got[2].record_type == "response" and got[None].record_type == "revisit"
+    assert got[5].payload_bytes == 0 and got[3].record_type == got[4].record_type == "response"
+    assert got[1].payload_digest == hashlib.sha1(big.encode()).hexdigest()
+    assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 4
+    back = warc.reconstruct(spark, str(tmp_path / "a")).collect()
+    assert sorted((r.page_id or 0, bytes(r.payload)) for r in back) == sorted((p or 0, (h or "").encode()) for p, _, h in rows)
+    warc.export_warc(spark, str(tmp_path / "a"), str(tmp_path / "w"))
+    files = warc.import_warc(spark, str(tmp_path / "w")).collect()
+    want = sorted(bytes(r.record) for r in back)
+    assert sorted(f"{r.header}".encode() + bytes(r.payload) + b"\r\n\r\n" for r in files) == want
+    assert warc.archived(pages.limit(0), str(tmp_path / "e")).count() == 0
+
+
+def test_chat_round_trip(spark):
+    texts = ["", None, "a\\b", "<|im_end|>", "</s>[INST] ok [/INST]", "<\\|x", "<\\\\|<s>", "[INST", "é\n<|"]
+    turns = [(k, i, role, t) for k, roles in enumerate((["user", "assistant"], ["user", "user", "assistant"], [None, "<|im_sep|>", "assistant"])) for i, (t, role) in enumerate(zip(texts, itertools.cycle(roles), strict=False))]
+    frame = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    formatted = chat.format_conversations(frame)
+    got = {r.conv_id: r for r in formatted.select("*", chat.parse_formatted(formatted.formatted).alias("turns"), chat.masked_text(formatted.formatted, formatted.loss_spans).alias("loss")).collect()}
+    for k in range(3):
+        own = [(r or "", t or "") for c, _, r, t in turns if c == k]
+        assert [(t.role, t.text) for t in got[k].turns] == own
+        assert got[k].loss == "".join(t for r, t in own if r == "assistant")
+        blocks = 1 + sum(a[0] != b[0] for a, b in itertools.pairwise(own))
+        assert got[k].formatted.count("<|im_start|>") == got[k].formatted.count("<|im_end|>") == blocks
+    assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_lm_likelihood_is_exact_and_sums_to_one(spark, docs, tmp_path):
+    rng = np.random.default_rng(0)
+    model = {"start": rng.dirichlet(np.ones(3)), "move": rng.dirichlet(np.ones(3), 3), "emit": rng.dirichlet(np.ones(5), 3)}
+    sequences = [rng.integers(0, 5, n) for n in (1, 2, 63, 64, 65, 300)]
+    want = []
+    for s in sequences:
+        a, total = model["start"] * model["emit"][:, s[0]], 0.0
+        for x in s[1:]:
+            total += math.log(a.sum())
+            a = (a / a.sum()) @ model["move"] * model["emit"][:, x]
+        want.append(total + math.log(a.sum()))
+    np.testing.assert_allclose(lm.log_likelihoods(model, sequences), want, rtol=1e-9)
+    every = [np.array(s) for s in itertools.product(range(5), repeat=3)]
+    assert np.exp(lm.log_likelihoods(model, every)).sum() == pytest.approx(1)
+    # Expected counts by enumeration of all state paths.
+    s = sequences[1]
+    emits, moves = np.zeros((3, 5)), np.zeros((3, 3))
+    weights = {(i, j): model["start"][i] * model["emit"][i, s[0]] * model["move"][i, j] * model["emit"][j, s[1]] for i in range(3) for j in range(3)}
+    for (i, j), w in weights.items():
+        p = w / sum(weights.values())
+        emits[i, s[0]] += p
+        emits[j, s[1]] += p
+        moves[i, j] += p
+    got = lm.expected_counts(model, [s])
+    np.testing.assert_allclose(got[1], moves, rtol=1e-4)
+    np.testing.assert_allclose(got[2], emits, rtol=1e-4, atol=1e-7)
+
+
+def test_lm_base_scores(spark, docs, tmp_path):
+    rows = docs.collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows}
+    counts = Counter(t for r in rows if not held[r.doc_id] for t in lm.tokens_of(r.text))
+    n, v = counts.total(), len(counts)
+    got = lm.score_texts(docs, hot_tokens=500).toPandas().set_index("doc_id")
+    for r in rows:
+        tokens, g = lm.tokens_of(r.text), got.loc[r.doc_id]
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[r.doc_id], len(tokens), sum(t in counts for t in tokens), n)
+        assert g.base_score == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens), rel=1e-9)
+    other = lm.score_texts(docs, hot_tokens=100_000).toPandas().set_index("doc_id")
+    np.testing.assert_allclose(other.score.sort_index(), got.score.sort_index(), rtol=1e-6)
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    got = queries.op3_lm(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
+    assert got.score.sum() > got.base_score.sum()
+
+
+def brute_base(text):
+    out = []
+    for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[1]) >= 8:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [x for *_, x in sorted(out)]
+
+
+WEAK = "Zx9" + "aB3dE5gH7" * 3
+
+
+def test_secrets(spark, docs):
+    texts = ["é password: 'abcdefgh12' token=short", "password: token = abcdefghijk", f"AKIA{'A' * 12} then {WEAK} end", f"alone {WEAK} end", f"{WEAK} far " + "x " * 400 + "https://host.example/", f"𝒳 {'a1' * 20} Token=\"{'q' * 9}\" SECRET = {'b' * 40}", "", "AKIAAKIA" + "B" * 10, f"url https://db.example:5432 {WEAK} {WEAK}"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(docs.select("doc_id", "text").selectExpr("doc_id + 1000 AS doc_id", "text"))
+    found = secrets.with_spans(frame).selectExpr("doc.doc_id", "doc.text", "spans")
+    got = found.select("*", secrets.redact(found.text, found.spans).alias("clean"), secrets.joined(found.spans).alias("line")).collect()
+    for r in got:
+        assert [x for x in r.line.split(",") if x and not x.startswith("weak")] == brute_base(r.text)
+        assert all(r.text[s.start : s.end] not in r.clean for s in r.spans)
+        assert r.spans or r.clean == r.text
+    weak = {r.doc_id: r.line.count("weak") for r in got}
+    assert [weak[i] for i in range(9)] == [0, 0, 1, 0, 0, 0, 0, 0, 2]
+
+
+def test_token_counts(spark, docs, odd, tmp_path):
+    encode = tokencount.encoder(tokencount.DEFAULT_VOCABULARY)[1]
+    for frame in (docs, odd):
+        want = sorted((r.doc_id or 0, len(encode(r.text or "")) // 2) for r in frame.collect())
+        got = tokencount.token_counts(frame, max_docs_per_file=50).collect()
+        assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == want
+
+
+def test_separators_over_block_boundaries():
+    tokens = np.array([5, tokencount.EOD, tokencount.EOD, 7, 7, 7, 7, 7, tokencount.EOD], ">u2").tobytes()
+    blocks = tokencount.summarise("p", tokens, 2)
+    assert [list(b[3]) for b in blocks] == [[1], [0], [], [], [0]]
+
+
+def test_toxicity_label_model_finds_good_voters():
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.2
+    bits = np.stack([np.where(rng.random(4000) < a, y, ~y) for a in (0.95, 0.9, 0.85, 0.5)], axis=1)
+    masks = (bits << np.arange(4)).sum(axis=1)
+    label = np.where(np.arange(4000) < 400, y, -1).astype(int)
+    model = toxicity.LabelModel(4).fit(masks, label, np.ones(4000))
+    p = model.posterior(masks, np.full(4000, -1))
+    assert ((p > 0.5) == y).mean() > 0.93
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op6_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
+    caught, wrong = got[got.toxic == 1].predicted.mean(), got[got.toxic == 0].predicted.mean()
+    assert caught > 0.85 and wrong < 0.03
+
+
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), float(sum(sizes.values()))
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / total > 3 * sizes[s]}
+        if not over:
+            return target | {s: left * weight[s] / total for s in open_}
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+        open_ -= over
+    return target
+
+
+def test_mixing(spark, docs):
+    for frame in (docs, docs.selectExpr("doc_id", "text", "CASE WHEN doc_id % 10 < 8 THEN 'a' WHEN doc_id = 9 THEN NULL WHEN doc_id % 10 = 8 THEN 'b' ELSE 'c' END AS source")):
+        got = mixing.mix(frame).selectExpr("doc.*", "size", "source_size", "target", "copies").toPandas().astype({"source": object})
+        sizes = defaultdict(int)
+        for r in frame.collect():
+            sizes[r.source] += len((r.text or "").encode().split())
+        want = brute_targets(sizes)
+        for source, part in got.groupby(got.source.fillna("?")):
+            s = None if source == "?" else source
+            assert (part.source_size == sizes[s]).all() and part.target.iloc[0] == pytest.approx(want[s])
+            taken, rate = (part["size"] * part.copies).sum(), want[s] / sizes[s]
+            assert abs(taken - want[s]) <= part["size"].max() * 2
+            assert part.copies[part["size"] > 0].between(math.floor(rate), math.ceil(rate)).all() and part.copies.max() <= 3
+        again = mixing.mix(frame.repartition(3)).selectExpr("doc.doc_id", "copies").toPandas()
+        assert sorted(map(tuple, again.values)) == sorted(map(tuple, got[["doc_id", "copies"]].values))
+
+
+def brute_fingerprint(text):
+    w = (text or "").encode().lower().split()
+    shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def brute_components(pairs):
+    """(id, fingerprint) pairs to the smallest id reachable."""
+    fps = sorted({f for _, f in pairs})
+    up = {f: f for f in fps}
+
+    def root(f):
+        while up[f] != f:
+            f = up[f]
+        return f
+
+    for a, b in itertools.combinations(fps, 2):
+        if (a ^ b).bit_count() <= 3:
+            up[root(a)] = root(b)
+    low = {}
+    for i, f in pairs:
+        low[root(f)] = min(low.get(root(f), i), i)
+    return {i: low[root(f)] for i, f in pairs}
+
+
+def test_simhash_queries(spark, docs):
+    got = queries.op8_simhash(spark, SF).toPandas()
+    fps = {r.doc_id: brute_fingerprint(r.text) for r in docs.collect()}
+    assert {r.doc_id: r.fingerprint for r in got.itertuples()} == {i: f"{f:016x}" for i, f in fps.items()}
+    assert dict(zip(got.doc_id, got.component_id, strict=True)) == brute_components(list(fps.items()))
+
+
+@pytest.mark.parametrize("limit", [4, 2048])
+def test_bit_sliced_links_are_exact(monkeypatch, limit):
+    monkeypatch.setattr(simhash, "LONG_RUN", limit)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 5), replace=False)) for _ in range(200)]
+    values = np.unique(np.array([int(base[i % 3]) ^ f for i, f in enumerate(flips)], np.uint64)).view(np.int64)
+    a, b = simhash.link(np.zeros(len(values), np.int64), values)
+    up = {int(v): int(v) for v in values}
+    for x, y in zip(a, b, strict=True):
+        up[int(x)] = int(y)
+    want = brute_components([(i, int(v) & (1 << 64) - 1) for i, v in enumerate(values)])
+    roots = [up[int(v)] for v in values]
+    groups = lambda keys: sorted(tuple(sorted(i for i, k in enumerate(keys) if k == key)) for key in set(keys))
+    assert groups(roots) == groups([want[i] for i in range(len(values))])
+
+
+def test_quality_counts_and_model(spark, docs):
+    got = {r.doc_id: r for r in queries.op9_quality(spark, SF).collect()}
+    for r in docs.collect():
+        t, g = r.text or "", got[r.doc_id]
+        w = t.encode().split()
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        marks = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(5)} if len(set(windows)) < len(windows) else set()
+        lines = t.split("\n")
+        dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(w), sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", t)), dup, len(marks))
+        assert g.base_failed == (len(w) < 10 or 100 * len(marks) > 20 * len(w)) and not (g.base_failed and g.kept)
+    codes, _ = quality.codes_of([r.text or "" for r in docs.collect()])
+    code, n = np.unique(codes, return_counts=True)
+    table_ = 2.0 ** -quality.log_table(quality.kneser_ney(code, n)).astype(float).reshape(-1, quality.K)
+    np.testing.assert_allclose(table_[np.unique(code // quality.K)].sum(axis=1), 1, rtol=1e-5)
+
+
+@pytest.mark.parametrize("shard", [200, 8 << 20])
+def test_decontamination_spans_and_shards(spark, shard):
+    item = " ".join(f"w{i}" for i in range(14))
+    bench = spark.createDataFrame([("a", item), ("a", item), ("b", "Short Item"), ("c", "!!"), ("d", None)], "item_id string, text string")
+    texts = [f"Intro -- {item.upper().replace(' ', ', ')}! outro", "a SHORT  item, short-item", "short", None, " ".join(item.split()[:9])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc.doc_id: r.hits for r in decontam.decontaminate(docs, bench, max_shard_chars=shard).collect()}
+    assert [got[i].n_hit for i in range(5)] == [14, 4, 0, 0, 0]
+    assert got[0].items == ["a"] and got[1].items == ["b"]
+    s = got[0].spans[0]
+    assert texts[0][s.start : s.end].startswith("W0,") and texts[0][s.start : s.end].endswith("W13")
+    assert decontam.decontaminate(docs, bench.limit(0)).where("hits.n_hit > 0").count() == 0
