@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log, pi, sqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.edges import half_list, neighbor_edges
+from ..functions.special import erfc_sql
+from ..plans.edges import framed, half_list, neighbor_edges
 from .base import Operator, require, type_index
 
 
@@ -79,6 +81,25 @@ class SortedDistances(Operator):
         return found.select("structure_id", "atom_index", "g", F.posexplode(slots).alias("k", "value")).select("structure_id", "atom_index", (F.col("g") * self.max_neighbors + F.col("k")).alias("feature"), "value")
 
 
+def _spectra(batches):
+    """Eigenvalues of one structure's symmetric matrix at a time, largest magnitude first; nan where it is not finite."""
+    import numpy as np
+    import pandas as pd
+
+    for batch in batches:
+        found = []
+        for sid, cells in zip(batch["structure_id"], batch["m"], strict=True):
+            n = max(c["i"] for c in cells) + 1
+            m = np.zeros((n, n))
+            for c in cells:
+                m[c["i"], c["j"]] = c["value"]
+            values = np.linalg.eigvalsh(m) if np.isfinite(m).all() else np.full(n, np.nan)
+            values = values[np.argsort(-np.abs(values), kind="stable")]
+            found.append(pd.DataFrame({"structure_id": sid, "feature": np.arange(n, dtype="int32"), "value": values}))
+        if found:
+            yield pd.concat(found)
+
+
 @dataclass(frozen=True)
 class _PairMatrix(Operator):
     n_atoms_max: int | None = None
@@ -87,10 +108,12 @@ class _PairMatrix(Operator):
     level = "structure"
 
     def __post_init__(self) -> None:
-        require(self.permutation in ("none", "sorted_l2"), "permutation is none or sorted_l2", "permutation")
+        require(self.permutation in ("none", "sorted_l2", "eigenspectrum"), "permutation is none, sorted_l2 or eigenspectrum", "permutation")
 
     def labels(self) -> list[str]:
         require(self.n_atoms_max is not None, "labels need n_atoms_max", "n_atoms_max")
+        if self.permutation == "eigenspectrum":
+            return [f"eigenvalue {i}" for i in range(self.n_atoms_max)]
         return [f"M[{i},{j}]" for i in range(self.n_atoms_max) for j in range(self.n_atoms_max)]
 
     def sized(self, atoms: DataFrame) -> int:
@@ -107,6 +130,9 @@ class _PairMatrix(Operator):
     def plan(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
         n = self.sized(atoms)
         cells = self.elements(structures, atoms)
+        if self.permutation == "eigenspectrum":
+            rows = cells.groupBy("structure_id").agg(F.collect_list(F.struct("i", "j", "value")).alias("m"))
+            return rows.mapInPandas(_spectra, "structure_id long, feature int, value double")
         if self.permutation == "sorted_l2":
             norms = cells.groupBy("structure_id", "i").agg(F.sum(F.col("value") * F.col("value")).alias("n2"))
             # Norms equal but for rounding keep the atoms' order: compared at twelve digits.
@@ -151,10 +177,6 @@ class SineMatrix(_PairMatrix):
     periodic_only = True
 
     def elements(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
-        from math import pi
-
-        from ..plans.edges import framed
-
         frames = framed(structures.where("periodic"), 1.0).select("structure_id", "cell", "inverse")
         d = [F.col(a) - F.col(b) for a, b in (("xi", "xj"), ("yi", "yj"), ("ci", "cj"))]
         rows = self.pairs(atoms).join(frames, "structure_id")
@@ -165,3 +187,69 @@ class SineMatrix(_PairMatrix):
         r = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
         off = F.when(r > 1e-14, F.col("zi") * F.col("zj") / F.greatest(r, F.lit(1e-14))).otherwise(0.0)
         return rows.select("structure_id", "i", "j", F.when(F.col("i") == F.col("j"), self.diagonal()).otherwise(off).alias("value"))
+
+
+@dataclass(frozen=True)
+class EwaldSumMatrix(_PairMatrix):
+    """Periodic: screened pair sums in real and reciprocal space, less self and background terms.
+
+    Unless given, the screening and both cutoffs follow each structure's size and volume, so every structure has its
+    own radius. The reciprocal sum runs over half of the vectors, as +G and -G give the same cosine. exponent is not used.
+    """
+
+    accuracy: float = 1e-5
+    w: float = 1.0
+    r_cut: float | None = None
+    g_cut: float | None = None
+    a: float | None = None
+    periodic_only = True
+
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        require(0 < self.accuracy < 1, "accuracy lies between 0 and 1", "accuracy")
+        require((self.r_cut is None) == (self.g_cut is None), "r_cut and g_cut are given together", "g_cut")
+
+    def screened(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
+        """Adds volume, alpha, rc and gc to the periodic structures that have atoms."""
+        sizes = atoms.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"))
+        m = [F.get("cell", F.lit(k)) for k in range(9)]
+        volume = F.abs(m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6]))
+        found = structures.where("periodic").select("structure_id", "cell", "periodic", volume.alias("volume")).join(sizes, "structure_id")
+        given = self.a is not None and self.a > 0
+        alpha = F.lit(float(self.a)) if given else sqrt(pi) * F.pow(F.col("n") * float(self.w) / (F.col("volume") * F.col("volume")), F.lit(1 / 6))
+        reach = sqrt(-log(self.accuracy))
+        found = found.withColumn("alpha", alpha)
+        rc = reach / F.col("alpha") if self.r_cut is None else F.lit(float(self.r_cut))
+        gc = 2 * reach * F.col("alpha") if self.g_cut is None else F.lit(float(self.g_cut))
+        return found.withColumns({"rc": rc, "gc": gc})
+
+    def elements(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
+        known = self.screened(structures, atoms)
+        scalars = known.select("structure_id", "alpha", "volume")
+        half = F.when(F.col("i") == F.col("j"), 0.5).otherwise(1.0)
+        charges = F.col("zi") * F.col("zj") * half
+        edges = neighbor_edges(known, atoms, F.col("rc")).where("d2 > 1e-16").join(scalars, "structure_id")
+        edges = edges.withColumns({"r": F.sqrt("d2"), "u": F.col("alpha") * F.sqrt("d2")})
+        real = edges.select("structure_id", "i", "j", (charges * F.expr(erfc_sql("u")) / F.col("r")).alias("value"))
+        waves = self.waves(known)
+        phase = sum((F.col(f"g{k}") * (F.col(f"{c}i") - F.col(f"{c}j")) for k, c in enumerate("xyc")), F.lit(0.0))
+        pairs = self.pairs(atoms)
+        recip = pairs.join(waves, "structure_id").select("structure_id", "i", "j", (charges * F.col("factor") * F.cos(phase)).alias("value"))
+        flat = -pi / (F.col("volume") * F.col("alpha") * F.col("alpha"))
+        own = F.when(F.col("i") == F.col("j"), F.col("alpha") / sqrt(pi) * F.col("zi") * F.col("zi")).otherwise(0.0)
+        rest = pairs.join(scalars, "structure_id").select("structure_id", "i", "j", (charges * flat - own).alias("value"))
+        return real.unionByName(recip).unionByName(rest).groupBy("structure_id", "i", "j").agg(F.sum("value").alias("value"))
+
+    def waves(self, known: DataFrame) -> DataFrame:
+        """structure_id, g0..g2, factor (8 pi / V exp(-G^2 / 4 alpha^2) / G^2) for one of each pair of vectors within gc."""
+        frames = framed(known, 1.0).select("structure_id", "inverse").join(known, "structure_id")
+        for k in range(3):
+            length = F.sqrt(sum((F.get("cell", F.lit(3 * k + c)) ** 2 for c in range(3)), F.lit(0.0)))
+            top = F.floor(F.col("gc") * length / (2 * pi)).cast("int")
+            frames = frames.select("*", F.explode(F.sequence(F.lit(0) if k == 0 else -top, top)).alias(f"n{k}"))
+        one = (F.col("n0") > 0) | ((F.col("n0") == 0) & ((F.col("n1") > 0) | ((F.col("n1") == 0) & (F.col("n2") > 0))))
+        vector = {f"g{r}": 2 * pi * sum((F.get("inverse", F.lit(3 * r + k)) * F.col(f"n{k}") for k in range(3)), F.lit(0.0)) for r in range(3)}
+        frames = frames.where(one).withColumns(vector)
+        frames = frames.withColumn("q", F.col("g0") * F.col("g0") + F.col("g1") * F.col("g1") + F.col("g2") * F.col("g2"))
+        factor = 8 * pi / F.col("volume") * F.exp(-F.col("q") / (4 * F.col("alpha") * F.col("alpha"))) / F.col("q")
+        return frames.where(F.col("q") <= F.col("gc") * F.col("gc")).select("structure_id", "g0", "g1", "g2", factor.alias("factor"))

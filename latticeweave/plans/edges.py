@@ -21,11 +21,12 @@ def _inverse(cell: Column) -> list[Column]:
     return [cof[r][c] / det for r in range(3) for c in range(3)]
 
 
-def framed(structures: DataFrame, cutoff: float) -> DataFrame:
-    """structure_id, cell, periodic, inverse cell and the number of images to each side."""
+def framed(structures: DataFrame, cutoff: float | Column) -> DataFrame:
+    """structure_id, cell, periodic, inverse cell, cutoff and the number of images to each side."""
+    cutoff = cutoff if isinstance(cutoff, Column) else F.lit(float(cutoff))
     inverse = F.when(F.col("periodic"), F.array(*_inverse(F.col("cell")))).otherwise(F.array(*[F.lit(0.0)] * 9))
-    reach = lambda k: F.when(F.col("periodic"), F.floor(cutoff * F.sqrt(sum((F.get("inverse", F.lit(3 * r + k)) ** 2 for r in range(3)), F.lit(0.0))) + 1)).otherwise(0).cast("int")
-    return structures.withColumn("inverse", inverse).select("structure_id", "cell", "periodic", "inverse", *[reach(k).alias(f"reach{k}") for k in range(3)])
+    reach = lambda k: F.when(F.col("periodic"), F.floor(F.col("cutoff") * F.sqrt(sum((F.get("inverse", F.lit(3 * r + k)) ** 2 for r in range(3)), F.lit(0.0))) + 1)).otherwise(0).cast("int")
+    return structures.withColumns({"inverse": inverse, "cutoff": cutoff}).select("structure_id", "cell", "periodic", "inverse", "cutoff", *[reach(k).alias(f"reach{k}") for k in range(3)])
 
 
 def _wrapped(atoms: DataFrame, frames: DataFrame) -> DataFrame:
@@ -42,8 +43,11 @@ def _near(cube: Column) -> Column:
     return F.array(cube - 1, cube, cube + 1)
 
 
-def neighbor_edges(structures: DataFrame, atoms: DataFrame, cutoff: float, boundary: bool = True, exact_self: bool = False, cubes: bool = False) -> DataFrame:
-    """EDGE_COLUMNS; d = image of j minus i. An edge to the atom itself without a shift is the exact self."""
+def neighbor_edges(structures: DataFrame, atoms: DataFrame, cutoff: float | Column, boundary: bool = True, exact_self: bool = False, cubes: bool = False) -> DataFrame:
+    """EDGE_COLUMNS; d = image of j minus i. An edge to the atom itself without a shift is the exact self.
+
+    cutoff: one radius, or a column of structures; cubes need one radius."""
+    own = isinstance(cutoff, Column)
     placed = _wrapped(atoms, framed(structures, cutoff))
     shifts = [F.explode(F.sequence(-F.col(f"reach{k}"), F.col(f"reach{k}"))).alias(f"t{k}") for k in range(3)]
     images = placed
@@ -52,7 +56,7 @@ def neighbor_edges(structures: DataFrame, atoms: DataFrame, cutoff: float, bound
     there = lambda c: F.col(f"p{c}") + sum((F.col(f"t{k}") * F.get("cell", F.lit(3 * k + c)) for k in range(3)), F.lit(0.0))
     cube = lambda v: F.floor(v / cutoff).cast("int")
     right = images.select("structure_id", F.col("atom_index").alias("j"), F.col("z").alias("zj"), *[F.col(f"t{k}") for k in range(3)], *[F.col(f"w{k}").alias(f"v{k}") for k in range(3)], *[there(c).alias(f"q{c}") for c in range(3)])
-    left = placed.select("structure_id", F.col("atom_index").alias("i"), F.col("z").alias("zi"), "w0", "w1", "w2", "p0", "p1", "p2")
+    left = placed.select("structure_id", F.col("atom_index").alias("i"), F.col("z").alias("zi"), "w0", "w1", "w2", "p0", "p1", "p2", *(["cutoff"] if own else []))
     on = ["structure_id"]
     if cubes:
         right = right.withColumns({f"b{c}": cube(F.col(f"q{c}")) for c in range(3)})
@@ -62,7 +66,8 @@ def neighbor_edges(structures: DataFrame, atoms: DataFrame, cutoff: float, bound
     d = [F.col(f"q{c}") - F.col(f"p{c}") for c in range(3)]
     edges = left.join(right, on).withColumns({"dx": d[0], "dy": d[1], "dz": d[2]})
     edges = edges.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
-    edges = edges.where(F.col("d2") <= cutoff**2 if boundary else F.col("d2") < cutoff**2)
+    square = F.col("cutoff") * F.col("cutoff") if own else cutoff**2
+    edges = edges.where(F.col("d2") <= square if boundary else F.col("d2") < square)
     if not exact_self:
         edges = edges.where(~((F.col("i") == F.col("j")) & (F.col("t0") == 0) & (F.col("t1") == 0) & (F.col("t2") == 0)))
     out = {"sx": 0, "sy": 1, "sz": 2}

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import log, pi, sqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.pairs import AtomicComposition, CoulombMatrix, NeighborList, SineMatrix, SortedDistances
+from ..functions.special import erf_sql, erfc_sql
+from ..operators.pairs import AtomicComposition, CoulombMatrix, EwaldSumMatrix, NeighborList, SineMatrix, SortedDistances
 from ..operators.symmetry import ACSF, EAD
+from ..operators.tensors import LMBTR, MBTR, valle_oganov
 from ..sources.structures import LINEITEM_ATOMS, lineitem_structures
 
 SPECIES, CUTOFF, EDGE = (1, 6, 8), 3.5, 12.0
 SYMMETRY = ACSF(SPECIES, CUTOFF, g2=((0.5, 0.0), (1.0, 1.5)), g3=(1.0,), g4=((0.05, 1.0, 1.0), (0.05, 2.0, -1.0)), g5=((0.1, 1.0, 1.0),))
 DENSITY = EAD(L=2, eta=(0.1, 0.5), Rs=(0.0,), Rc=CUTOFF)
+#: Tensor queries share the edges' radius, so that one edge relation serves their SQL.
+TENSORS = {
+    "mbtr_atomic_number": MBTR(SPECIES, "atomic_number", 0.0, 9.0, 19, 0.3, weighting="unity", normalization="n_atoms"),
+    "mbtr_distance": MBTR(SPECIES, grid_max=CUTOFF, grid_n=20, grid_sigma=0.2, scale=2.0, normalization="l2"),
+    "mbtr_angle": MBTR(SPECIES, "angle", grid_max=180.0, grid_n=19, grid_sigma=8.0, weighting="smooth_cutoff", r_cut=CUTOFF),
+    "valle_oganov_distance": valle_oganov(SPECIES, n=20, sigma=0.2, r_cut=CUTOFF),
+    "valle_oganov_angle": valle_oganov(SPECIES, "angle", n=19, sigma=8.0, r_cut=CUTOFF),
+    "lmbtr_distance": LMBTR(SPECIES, "inverse_distance", grid_max=2.0, grid_n=20, grid_sigma=0.1, weighting="inverse_square", r_cut=CUTOFF, normalize_gaussians=False),
+    "lmbtr_angle": LMBTR(SPECIES, "cosine", grid_min=-1.0, grid_max=1.0, grid_n=11, grid_sigma=0.1, weighting="smooth_cutoff", r_cut=CUTOFF),
+}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -46,6 +58,9 @@ QUERIES = {
     "coulomb_matrix": _query(CoulombMatrix(16, "none")),
     "coulomb_matrix_sorted": _query(CoulombMatrix(16)),
     "sine_matrix": _query(SineMatrix(16, "none"), periodic=True),
+    "sine_matrix_spectrum": _query(SineMatrix(16, "eigenspectrum"), periodic=True),
+    "ewald_sum_matrix": _query(EwaldSumMatrix(16, "none"), periodic=True),
+    **{name: _query(operator, periodic=True) for name, operator in TENSORS.items()},
 }
 
 _ATOMS = "atoms AS (" + LINEITEM_ATOMS.format(lineitem="lineitem") + "\n)"
@@ -108,7 +123,71 @@ _PAIRS = f"""WITH {_ATOMS}, p AS (SELECT a.structure_id, a.atom_index AS i, b.at
 FROM atoms a JOIN atoms b USING (structure_id)), m AS (SELECT structure_id, i, j, CASE WHEN i = j THEN 0.5 * power(zi, 2.4) ELSE zi * zj / sqrt(dx * dx + dy * dy + dz * dz) END AS value FROM p)"""
 _NEIGHBORS = f"SELECT structure_id, i, j, sx, sy, sz, {', '.join(f'{_R.format(c)} AS {c}' for c in ('dx', 'dy', 'dz'))}, {_R.format('sqrt(d2)')} AS distance FROM"
 
+_FAR = "(sx <> 0 OR sy <> 0 OR sz <> 0)"
+_TYPES = "CASE {0} WHEN 1 THEN 0 WHEN 6 THEN 1 ELSE 2 END"
+_SMOOTH = f"(1 + 2 * power({{0}} / {CUTOFF}, 3) - 3 * power({{0}} / {CUTOFF}, 2))"
+_SIDES = f"""sides AS (SELECT a.structure_id, a.i AS atom_index, {_TYPES.format('a.zi')} AS ti, a.t AS t1, b.t AS t2, a.r AS r1, b.r AS r2,
+  sqrt(power(a.dx - b.dx, 2) + power(a.dy - b.dy, 2) + power(a.dz - b.dz, 2)) AS r3, {_SMOOTH.format('a.r')} * {_SMOOTH.format('b.r')} AS w
+  FROM edges a JOIN edges b ON a.structure_id = b.structure_id AND a.i = b.i AND (a.j, a.sx, a.sy, a.sz) < (b.j, b.sx, b.sy, b.sz) WHERE a.structure_id % 2 = 0)"""
+
+
+def _upper(a: str, b: str, n: int) -> str:
+    return f"(least({a}, {b}) * {n} - least({a}, {b}) * (least({a}, {b}) + 1) // 2 + greatest({a}, {b}))"
+
+
+def _cosine(a: str, b: str, c: str) -> str:
+    return f"greatest(-1, least(1, CASE WHEN {a} * {b} > 0 THEN ({a} * {a} + {b} * {b} - {c} * {c}) / (2 * {a} * {b}) ELSE 1 END))"
+
+
+def _histogram(op: MBTR, obs: str, scaled: str = "value", extra: str = "") -> str:
+    """obs: structure_id (and atom_index), channel, v, w. scaled: the value after normalization, over the rows h."""
+    keys = ", ".join(op.keys)
+    dx, tail, last, root = (op.grid_max - op.grid_min) / (op.grid_n - 1), 8 * op.grid_sigma, op.grid_n - 1, op.grid_sigma * sqrt(2)
+    low = f"least({last}, greatest(0, ceil((v - {tail!r} - {op.grid_min!r} - {dx / 2!r}) / {dx!r})))::INT"
+    high = f"greatest(0, least({last}, floor((v + {tail!r} - {op.grid_min!r} + {dx / 2!r}) / {dx!r})))::INT"
+    factor = (1.0 if op.normalize_gaussians else op.grid_sigma * sqrt(2 * pi)) / dx / 2
+    return f"""WITH {_EDGES}, {_SIDES}, obs AS ({obs}),
+spread AS (SELECT {keys}, channel, v, w, unnest(range({low}, {high} + 1)) AS bin FROM obs WHERE w <> 0 AND v BETWEEN {op.grid_min - tail!r} AND {op.grid_max + tail!r}),
+ends AS (SELECT {keys}, channel, bin, w, ({op.grid_min - dx / 2!r}::DOUBLE + bin * {dx!r} - v) / {root!r}::DOUBLE AS a FROM spread),
+both_ends AS (SELECT *, a + {dx / root!r}::DOUBLE AS b FROM ends),
+h AS (SELECT {keys}, channel, bin, sum(w * {factor!r} * ({erf_sql('b', '')} - {erf_sql('a', '')})) AS value FROM both_ends GROUP BY {keys}, channel, bin){extra}
+SELECT {keys}, (channel * {op.grid_n} + bin)::INT AS feature, {_R.format(scaled)} AS value FROM h"""
+
+
+_DENSITY_OF = f""", counts AS (SELECT structure_id, list_value(count(*) FILTER (z = 1), count(*) FILTER (z = 6), count(*) FILTER (z = 8)) AS n FROM atoms GROUP BY ALL),
+pair AS (SELECT * FROM (VALUES (0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 1), (4, 1, 2), (5, 2, 2)) p(p, pa, pb))"""
+_N = "(SELECT n FROM counts c WHERE c.structure_id = h.structure_id)"
+_PA, _PB = (f"(SELECT {c} + 1 FROM pair WHERE p = channel % 6)" for c in ("pa", "pb"))
+_VO_PAIR = f"value * {EDGE**3!r} / ({4 * pi!r} * {_N}[{_PA}] * {_N}[{_PB}] * CASE WHEN {_PA} = {_PB} THEN 0.5 ELSE 1 END)"
+_VO_ANGLE = f"value * {EDGE**3!r} / ({_N}[{_PA}] * {_N}[{_PB}] * {_N}[channel // 6 + 1])"
+_PAIRED = f"SELECT structure_id, {_upper(_TYPES.format('zi'), 't', 3)} AS channel, r AS v, {{0}} * CASE WHEN {_FAR} THEN 0.5 ELSE 1 END AS w FROM edges WHERE structure_id % 2 = 0 AND r > 1e-12 AND ({_FAR} OR j > i)"
+_ANGLES = f"SELECT structure_id, ti * 6 + {_upper('t1', 't2', 3)} AS channel, degrees(acos({_cosine('r1', 'r2', 'r3')})) AS v, w FROM sides"
+_LOCAL_ANGLES = " UNION ALL ".join(
+    f"SELECT structure_id, atom_index, {channel} AS channel, {_cosine(*sides)} AS v, w FROM sides"
+    for channel, sides in ((_upper("(t1 + 1)", "(t2 + 1)", 4), ("r1", "r2", "r3")), ("10 + t1 * 4 + t2 + 1", ("r1", "r3", "r2")), ("10 + t2 * 4 + t1 + 1", ("r2", "r3", "r1")))
+)
+_SCREENING, _WAVES = sqrt(-log(1e-5)), f"{2 * pi / EDGE!r}"
+_EWALD = f"""WITH {_ATOMS}, k AS (SELECT structure_id, {sqrt(pi)!r} * power(count(*) / {EDGE**6!r}::DOUBLE, 1.0::DOUBLE / 6) AS alpha FROM atoms WHERE structure_id % 2 = 0 GROUP BY ALL),
+p AS (SELECT k.*, a.atom_index AS i, b.atom_index AS j, a.z * b.z * CASE WHEN a.atom_index = b.atom_index THEN 0.5 ELSE 1 END AS q, a.z AS zi,
+      b.x - a.x AS dx, b.y - a.y AS dy, b.zc - a.zc AS dz FROM atoms a JOIN atoms b USING (structure_id) JOIN k USING (structure_id)),
+s AS (SELECT unnest(range(-3, 4)) AS s), g AS (SELECT {_WAVES} * a.s AS gx, {_WAVES} * b.s AS gy, {_WAVES} * c.s AS gz FROM s a, s b, s c WHERE a.s <> 0 OR b.s <> 0 OR c.s <> 0),
+near AS (SELECT structure_id, i, j, q, alpha, sqrt(power(dx + a.s * {EDGE}, 2) + power(dy + b.s * {EDGE}, 2) + power(dz + c.s * {EDGE}, 2)) AS r FROM p, s a, s b, s c),
+scaled AS (SELECT *, alpha * r AS u FROM near WHERE r > 1e-8 AND r <= {_SCREENING!r} / alpha),
+parts AS (SELECT structure_id, i, j, q * {erfc_sql('u', '')} / r AS value FROM scaled
+  UNION ALL SELECT structure_id, i, j, q * {4 * pi / EDGE**3!r}::DOUBLE * exp(-(gx * gx + gy * gy + gz * gz) / (4 * alpha * alpha)) / (gx * gx + gy * gy + gz * gz) * cos(gx * dx + gy * dy + gz * dz)
+  FROM p, g WHERE gx * gx + gy * gy + gz * gz <= power(2 * alpha * {_SCREENING!r}, 2)
+  UNION ALL SELECT structure_id, i, j, -q * {pi / EDGE**3!r}::DOUBLE / (alpha * alpha) - CASE WHEN i = j THEN alpha / {sqrt(pi)!r} * zi * zi ELSE 0 END FROM p)
+SELECT structure_id, (i * 16 + j)::INT AS feature, {_R.format('sum(value)')} AS value FROM parts GROUP BY structure_id, i, j"""
+
 ORACLE_SQL = {
+    "ewald_sum_matrix": _EWALD,
+    "mbtr_atomic_number": _histogram(TENSORS["mbtr_atomic_number"], f"SELECT structure_id, {_TYPES.format('z')} AS channel, z::DOUBLE AS v, 1 AS w FROM atoms WHERE structure_id % 2 = 0", "value / (SELECT count(*) FROM atoms a WHERE a.structure_id = h.structure_id)"),
+    "mbtr_distance": _histogram(TENSORS["mbtr_distance"], _PAIRED.format("CASE WHEN exp(-2.0 * r) >= 1e-3 THEN exp(-2.0 * r) ELSE 0 END"), "value / sqrt(sum(value * value) OVER (PARTITION BY structure_id))"),
+    "mbtr_angle": _histogram(TENSORS["mbtr_angle"], _ANGLES),
+    "valle_oganov_distance": _histogram(TENSORS["valle_oganov_distance"], _PAIRED.format("1 / (r * r)"), _VO_PAIR, _DENSITY_OF),
+    "valle_oganov_angle": _histogram(TENSORS["valle_oganov_angle"], _ANGLES, _VO_ANGLE, _DENSITY_OF),
+    "lmbtr_distance": _histogram(TENSORS["lmbtr_distance"], "SELECT structure_id, i AS atom_index, t + 1 AS channel, 1 / r AS v, 1 / (r * r) AS w FROM edges WHERE structure_id % 2 = 0 AND r > 1e-12"),
+    "lmbtr_angle": _histogram(TENSORS["lmbtr_angle"], _LOCAL_ANGLES),
     "acsf_g2": f"WITH {_EDGES} {_LONG} ({_radial(_G2)})",
     "acsf": _acsf_sql(),
     "ead": _ead_sql(),

@@ -22,7 +22,7 @@ def rows(frame, columns):
     return sorted(tuple(float(v) for v in r) for r in frame[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
