@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import erf_sql, erfc_sql
+from ..operators.local import MTP, SO3, SOAP, SoapPowerSpectrum, SoapRadialSpectrum, SphericalExpansion, SphericalExpansionByPair
 from ..operators.pairs import AtomicComposition, CoulombMatrix, EwaldSumMatrix, NeighborList, SineMatrix, SortedDistances
 from ..operators.symmetry import ACSF, EAD
 from ..operators.tensors import LMBTR, MBTR, valle_oganov
@@ -26,6 +27,17 @@ TENSORS = {
     "lmbtr_distance": LMBTR(SPECIES, "inverse_distance", grid_max=2.0, grid_n=20, grid_sigma=0.1, weighting="inverse_square", r_cut=CUTOFF, normalize_gaussians=False),
     "lmbtr_angle": LMBTR(SPECIES, "cosine", grid_min=-1.0, grid_max=1.0, grid_n=11, grid_sigma=0.1, weighting="smooth_cutoff", r_cut=CUTOFF),
 }
+#: Not expressible in SQL within reason: tests compare with quadrature and plain loops.
+LOCAL = {
+    "spherical_expansion": SphericalExpansion(SPECIES, CUTOFF, 0.5, 3, 2),
+    "spherical_expansion_by_pair": SphericalExpansionByPair(SPECIES, CUTOFF, 0.5, 3, 2),
+    "soap_radial_spectrum": SoapRadialSpectrum(SPECIES, CUTOFF, 0.5, 3),
+    "soap_power_spectrum": SoapPowerSpectrum(SPECIES, CUTOFF, 0.5, 3, 2),
+    "soap": SOAP(SPECIES, CUTOFF, 3, 2, 0.5, "off"),
+    "soap_inner": SOAP(SPECIES, CUTOFF, 3, 2, 0.5),
+    "so3": SO3(2, 2, CUTOFF),
+    "mtp": MTP(SPECIES, max_dist=CUTOFF, radial_basis_size=2),
+}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -45,6 +57,11 @@ def _query(make, periodic: bool | None = None):
     return run
 
 
+def _dense(operator):
+    """One row per atom, pair or structure, features as an array."""
+    return lambda spark, sf_dir: operator.compute(*lineitem_structures(spark, sf_dir))
+
+
 QUERIES = {
     "acsf_g2": _query(ACSF(SPECIES, CUTOFF, g2=((0.5, 0.0), (1.0, 1.5)))),
     "acsf": _query(SYMMETRY),
@@ -60,6 +77,7 @@ QUERIES = {
     "sine_matrix": _query(SineMatrix(16, "none"), periodic=True),
     "sine_matrix_spectrum": _query(SineMatrix(16, "eigenspectrum"), periodic=True),
     "ewald_sum_matrix": _query(EwaldSumMatrix(16, "none"), periodic=True),
+    **{name: _dense(operator) for name, operator in LOCAL.items()},
     **{name: _query(operator, periodic=True) for name, operator in TENSORS.items()},
 }
 
