@@ -34,6 +34,7 @@ class Edges:
     zi: np.ndarray
     ti: np.ndarray
     own: np.ndarray
+    j: np.ndarray | None = None
 
     def total(self, values: np.ndarray) -> np.ndarray:
         """Sum over each centre's edges; every centre has one."""
@@ -106,6 +107,8 @@ class _Local(Operator):
 
     keeps_self = False
     typed = True
+    #: whether edges know their neighbour's index
+    named = False
 
     def kernel(self) -> Callable[[Edges], np.ndarray]:
         """Built once per task from the configuration; gives (centres, width)."""
@@ -116,7 +119,7 @@ class _Local(Operator):
         kind = lambda c: type_index(F.col(c), self.species) if self.typed else F.lit(0)
         edges = edges.withColumns({"ti": kind("zi"), "t": kind("zj")})
         own = (F.col("i") == F.col("j")) & (F.col("sx") == 0) & (F.col("sy") == 0) & (F.col("sz") == 0)
-        near = F.struct("zj", "t", "dx", "dy", "dz", F.sqrt("d2").alias("r"), own.alias("own"))
+        near = F.struct("zj", "t", "dx", "dy", "dz", F.sqrt("d2").alias("r"), own.alias("own"), *(["j"] if self.named else []))
         return edges.groupBy("structure_id", F.col("i").alias("atom_index"), F.col("zi").alias("z"), "ti").agg(F.collect_list(near).alias("near"))
 
     def expanded(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -132,23 +135,28 @@ class _Local(Operator):
         return atoms.select(*KEYS).join(self.expanded(structures, atoms), list(KEYS), "left").select(*KEYS, F.coalesce("features", none).alias("features"))
 
 
+def blocks(batches, named: bool = False):
+    """(rows, edges) of BLOCK centres at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK):
+            rows = batch.slice(start, BLOCK)
+            lists = rows.column("near")
+            at, offsets = lists.flatten(), lists.offsets.to_numpy()
+            get = lambda name: at.field(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            d = np.stack([get("dx"), get("dy"), get("dz")], 1)
+            yield rows, Edges(d, get("r"), get("zj"), get("t"), offsets[:-1] - offsets[0], rows.column("z").to_numpy(), rows.column("ti").to_numpy(), get("own"), get("j") if named else None)
+
+
 def _mapper(operator: _Local):
     def run(batches):
         import pyarrow as pa
 
         kernel = operator.kernel()
-        for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                rows = batch.slice(start, BLOCK)
-                lists = rows.column("near")
-                at = lists.flatten()
-                get = lambda name: at.field(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                offsets = lists.offsets.to_numpy()
-                edges = Edges(np.stack([get("dx"), get("dy"), get("dz")], 1), get("r"), get("zj"), get("t"), offsets[:-1] - offsets[0], rows.column("z").to_numpy(), rows.column("ti").to_numpy(), get("own"))
-                values = kernel(edges)
-                ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-                features = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column("structure_id"), rows.column("atom_index"), features], ["structure_id", "atom_index", "features"])
+        for rows, edges in blocks(batches):
+            values = kernel(edges)
+            ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+            features = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).ravel()))
+            yield pa.RecordBatch.from_arrays([rows.column("structure_id"), rows.column("atom_index"), features], ["structure_id", "atom_index", "features"])
 
     return run
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from math import log, pi, sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import erf_sql, erfc_sql
 from ..operators.local import MTP, SO3, SOAP, SoapPowerSpectrum, SoapRadialSpectrum, SphericalExpansion, SphericalExpansionByPair
+from ..operators.neural import NEP
 from ..operators.pairs import AtomicComposition, CoulombMatrix, EwaldSumMatrix, NeighborList, SineMatrix, SortedDistances
+from ..operators.rotational import SNAP, SO4, LBispectrum
 from ..operators.symmetry import ACSF, EAD
 from ..operators.tensors import LMBTR, MBTR, valle_oganov
 from ..sources.structures import LINEITEM_ATOMS, lineitem_structures
@@ -27,6 +30,17 @@ TENSORS = {
     "lmbtr_distance": LMBTR(SPECIES, "inverse_distance", grid_max=2.0, grid_n=20, grid_sigma=0.1, weighting="inverse_square", r_cut=CUTOFF, normalize_gaussians=False),
     "lmbtr_angle": LMBTR(SPECIES, "cosine", grid_min=-1.0, grid_max=1.0, grid_n=11, grid_sigma=0.1, weighting="smooth_cutoff", r_cut=CUTOFF),
 }
+
+
+def neural_model(radial: int = 4, angular: int = 3, basis: int = 6, l_max: int = 4, neurons: int = 10) -> str:
+    """A screened model of the queries' elements with drawn numbers: no trained one comes with the package."""
+    width, pairs = radial + 1 + (angular + 1) * (l_max + 2), len(SPECIES) ** 2
+    count = (width + 2) * neurons * len(SPECIES) + 1 + pairs * (basis + 1) * (radial + angular + 2)
+    numbers = [*np.random.default_rng(4).normal(scale=0.1, size=count), *[1.0] * width]
+    head = f"nep4_zbl {len(SPECIES)} H C O\nzbl 0.5 1.0\ncutoff {CUTOFF} 3.0 500 200\nn_max {radial} {angular}\nbasis_size {basis} {basis}\nl_max {l_max} 2 1\nANN {neurons} 0\n"
+    return head + "\n".join(f"{v:.9e}" for v in numbers)
+
+
 #: Not expressible in SQL within reason: tests compare with quadrature and plain loops.
 LOCAL = {
     "spherical_expansion": SphericalExpansion(SPECIES, CUTOFF, 0.5, 3, 2),
@@ -36,6 +50,10 @@ LOCAL = {
     "soap": SOAP(SPECIES, CUTOFF, 3, 2, 0.5, "off"),
     "soap_inner": SOAP(SPECIES, CUTOFF, 3, 2, 0.5),
     "so3": SO3(2, 2, CUTOFF),
+    "so4": SO4(2, CUTOFF),
+    "snap": SNAP(2, CUTOFF, element_weights=((6, 0.5), (8, 0.8))),
+    "lbispectrum": LBispectrum(twojmax=4, rcut=CUTOFF),
+    "nep": NEP(neural_model()),
     "mtp": MTP(SPECIES, max_dist=CUTOFF, radial_basis_size=2),
 }
 
@@ -77,6 +95,7 @@ QUERIES = {
     "sine_matrix": _query(SineMatrix(16, "none"), periodic=True),
     "sine_matrix_spectrum": _query(SineMatrix(16, "eigenspectrum"), periodic=True),
     "ewald_sum_matrix": _query(EwaldSumMatrix(16, "none"), periodic=True),
+    "nep_predict": lambda spark, sf_dir: rounded(LOCAL["nep"].predict(*lineitem_structures(spark, sf_dir))),
     **{name: _dense(operator) for name, operator in LOCAL.items()},
     **{name: _query(operator, periodic=True) for name, operator in TENSORS.items()},
 }

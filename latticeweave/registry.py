@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import MISSING, fields
 
 from .errors import ConfigurationError
-from .operators import local, pairs, symmetry, tensors
+from .operators import local, neural, pairs, rotational, symmetry, tensors
 from .operators.base import Operator
 
 OPERATORS: dict[str, type[Operator]] = {
@@ -13,7 +13,8 @@ OPERATORS: dict[str, type[Operator]] = {
     for c in (
         symmetry.ACSF, symmetry.EAD, pairs.AtomicComposition, pairs.CoulombMatrix, pairs.EwaldSumMatrix, pairs.NeighborList,
         pairs.SineMatrix, pairs.SortedDistances, tensors.LMBTR, tensors.MBTR, local.MTP, local.SO3, local.SOAP,
-        local.SoapPowerSpectrum, local.SoapRadialSpectrum, local.SphericalExpansion, local.SphericalExpansionByPair,
+        local.SoapPowerSpectrum, local.SoapRadialSpectrum, local.SphericalExpansion, local.SphericalExpansionByPair, neural.NEP,
+        rotational.LBispectrum, rotational.SNAP, rotational.SO4,
     )
 }
 
