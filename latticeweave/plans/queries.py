@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import erf_sql, erfc_sql
+from ..operators.bessel import C00PSMLFF
 from ..operators.local import MTP, SO3, SOAP, SoapPowerSpectrum, SoapRadialSpectrum, SphericalExpansion, SphericalExpansionByPair
+from ..operators.longrange import LodeSphericalExpansion
 from ..operators.neural import NEP
 from ..operators.pairs import AtomicComposition, CoulombMatrix, EwaldSumMatrix, NeighborList, SineMatrix, SortedDistances
 from ..operators.rotational import SNAP, SO4, LBispectrum
@@ -54,6 +56,7 @@ LOCAL = {
     "snap": SNAP(2, CUTOFF, element_weights=((6, 0.5), (8, 0.8))),
     "lbispectrum": LBispectrum(twojmax=4, rcut=CUTOFF),
     "nep": NEP(neural_model()),
+    "c00ps_mlff": C00PSMLFF(SPECIES, CUTOFF, 4, 2),
     "mtp": MTP(SPECIES, max_dist=CUTOFF, radial_basis_size=2),
 }
 
@@ -96,6 +99,7 @@ QUERIES = {
     "sine_matrix_spectrum": _query(SineMatrix(16, "eigenspectrum"), periodic=True),
     "ewald_sum_matrix": _query(EwaldSumMatrix(16, "none"), periodic=True),
     "nep_predict": lambda spark, sf_dir: rounded(LOCAL["nep"].predict(*lineitem_structures(spark, sf_dir))),
+    "lode_spherical_expansion": _query(LodeSphericalExpansion(SPECIES, CUTOFF, 0.5, 2, 2, 1.5), periodic=True),
     **{name: _dense(operator) for name, operator in LOCAL.items()},
     **{name: _query(operator, periodic=True) for name, operator in TENSORS.items()},
 }
