@@ -376,10 +376,13 @@ def modified_bessel(x: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class MTP(_Local):
-    """Moment tensors without a model: traces of even ranks by channel, then dot products of channel pairs by rank.
+    """Moment tensors. Without a model: traces of even ranks by channel, then dot products of channel pairs by rank.
 
     A channel is (neighbour species, radial function, Chebyshev order). A trace of unit vectors' even tensor is its
-    rank 0; dot products run over distinct components, weighted by how often each occurs."""
+    rank 0; dot products run over distinct components, weighted by how often each occurs.
+
+    model: a path or a text of named assignments; distances and sizes are then the model's, and features a constant one
+    and the model's scalars."""
 
     species: tuple[int, ...]
     min_dist: float = 0.0
@@ -387,21 +390,41 @@ class MTP(_Local):
     radial_basis_size: int = 4
     radial_funcs_count: int = 1
     max_rank: int = 2
+    model: str | None = None
 
     def __post_init__(self) -> None:
         require(0 <= self.min_dist < self.max_dist, "distances have a range", "max_dist")
         require(0 <= self.max_rank <= 5 and self.radial_basis_size > 0 and self.radial_funcs_count > 0, "max_rank is 0 to 5, sizes are positive", "max_rank")
+        if self.model is not None:
+            from .moments import parse_moments
+
+            text = self.model
+            if "\n" not in text:
+                with open(text) as file:
+                    text = file.read()
+            object.__setattr__(self, "parsed", parse_moments(text))
+            require(self.parsed.types == len(self.species), "the model has another number of species", "species")
+
+    @property
+    def keeps_self(self) -> bool:
+        return self.model is not None
 
     @property
     def reach(self) -> float:
-        return self.max_dist
+        return self.parsed.max_dist if self.model is not None else self.max_dist
 
     def labels(self) -> list[str]:
+        if self.model is not None:
+            return ["constant", *[f"moment {k}" for k in self.parsed.mapping]]
         own = [f"Z={z} f={f} n={n}" for z in self.species for f in range(self.radial_funcs_count) for n in range(self.radial_basis_size)]
         traces = [f"trace {c} rank={k}" for c in own for k in range(0, self.max_rank + 1, 2)]
         return traces + [f"{own[a]} . {own[b]} rank={k}" for k in range(self.max_rank + 1) for a in range(len(own)) for b in range(a, len(own))]
 
     def kernel(self) -> Callable[[Edges], np.ndarray]:
+        if self.model is not None:
+            from .moments import moment_features
+
+            return moment_features(self.parsed)
         types = len(self.species)
 
         def features(e: Edges) -> np.ndarray:
@@ -429,24 +452,68 @@ class MTP(_Local):
 
 @dataclass(frozen=True)
 class SOAP(_Local):
-    """Smooth overlap power spectra with orthonormal Gaussian-type functions, the centre included.
+    """Smooth overlap power spectra with orthonormal radial functions, the centre included.
+
+    rbf: gto (Gaussian-type) or polynomial (powers of the distance to the cutoff, from the third). weighting of
+    neighbours: function poly, pow or exp with r0, c, and m or d as they need; w0 for the centre; species_weighting, a
+    weight per species. Without r_cut it follows from the function and its threshold, else it is 6.
 
     average: off (per atom), inner (of coefficients) or outer (of spectra), the latter two per structure. compression:
     off, mu2 (one density), mu1nu1 (each species with all) or crossover (each species with itself)."""
 
     species: tuple[int, ...]
-    r_cut: float = 6.0
+    r_cut: float | None = None
     n_max: int = 8
     l_max: int = 6
     sigma: float = 1.0
     average: str = "inner"
     compression: str = "off"
+    rbf: str = "gto"
+    weighting: dict | None = None
+    species_weighting: tuple[float, ...] | None = None
     keeps_self = True
 
     def __post_init__(self) -> None:
         require(self.average in ("off", "inner", "outer"), "average is off, inner or outer", "average")
         require(self.compression in ("off", "mu2", "mu1nu1", "crossover"), "unknown compression", "compression")
-        require(self.r_cut > 1 and self.sigma > 0 and self.n_max > 0 and 0 <= self.l_max <= 20, "r_cut is over 1, l_max 0 to 20", "r_cut")
+        require(self.rbf in ("gto", "polynomial"), "rbf is gto or polynomial", "rbf")
+        self.check_weighting()
+        require(self.sigma > 0 and self.n_max > 0 and 0 <= self.l_max <= 20 and self.radius > (1 if self.rbf == "gto" else 0), "r_cut is over 1 (gto), l_max 0 to 20", "r_cut")
+
+    def check_weighting(self) -> None:
+        w = self.weighting or {}
+        needed = {"poly": ("c", "m"), "pow": ("c", "d", "m"), "exp": ("c", "d"), None: ()}
+        require(w.get("function") in needed, "the function is poly, pow or exp", "weighting.function")
+        for name in (*needed[w.get("function")], *(["w0"] if "w0" in w else [])):
+            require(w.get(name, -1) >= 0, f"{name} is given and not negative", f"weighting.{name}")
+        require(not w.get("function") or w.get("r0", 0) > 0 and w.get("threshold", 1e-2) > 0, "r0 and the threshold are positive", "weighting.r0")
+        require(self.species_weighting is None or len(self.species_weighting) == len(self.species), "a weight per species", "species_weighting")
+
+    @property
+    def radius(self) -> float:
+        w = self.weighting or {}
+        kind = w.get("function")
+        if self.r_cut is not None or kind is None:
+            return 6.0 if self.r_cut is None else float(self.r_cut)
+        if kind == "poly":
+            return float(w["r0"])
+        left = w["c"] / w.get("threshold", 1e-2) - w["d"]
+        require(left > (1 if kind == "exp" else 0) and w.get("m", 1) > 0, "no cutoff follows from the weighting", "weighting")
+        return w["r0"] * (log(left) if kind == "exp" else left ** (1 / w["m"]))
+
+    def weights(self, e: Edges) -> np.ndarray:
+        w = self.weighting or {}
+        x = e.r / w.get("r0", 1.0)
+        value = np.ones(len(e.r))
+        if w.get("function") == "poly":
+            value = np.where(x <= 1, w["c"] * np.maximum(1 + 2 * x**3 - 3 * x**2, 0.0) ** w["m"], 0.0)
+        elif w.get("function") == "pow":
+            value = w["c"] / (w["d"] + x ** w["m"])
+        elif w.get("function") == "exp":
+            value = w["c"] / (w["d"] + np.exp(-x))
+        if "w0" in w:
+            value = np.where(e.own, w["w0"], value)
+        return value if self.species_weighting is None else value * np.array(self.species_weighting)[e.t]
 
     @property
     def level(self) -> str:
@@ -455,7 +522,7 @@ class SOAP(_Local):
     @property
     def reach(self) -> float:
         """The cutoff and the distance where a Gaussian falls to a thousandth."""
-        return self.r_cut + self.sigma * sqrt(-2 * log(1e-3))
+        return self.radius + self.sigma * sqrt(-2 * log(1e-3))
 
     def blocks(self) -> list[tuple[str, int, int, bool]]:
         """(name, first and second density, whether n' starts at n); density -1 is the sum over species."""
@@ -484,7 +551,9 @@ class SOAP(_Local):
         return np.concatenate(parts, axis=1)
 
     def coefficients(self) -> Callable[[Edges], np.ndarray]:
-        radii, eta, types = np.linspace(1.0, self.r_cut, self.n_max), 1 / (2 * self.sigma**2), len(self.species)
+        if self.rbf == "polynomial":
+            return self.polynomial()
+        radii, eta, types = np.linspace(1.0, self.radius, self.n_max), 1 / (2 * self.sigma**2), len(self.species)
         tables = []
         for k in range(self.l_max + 1):
             alpha = -np.log(1e-3 / radii**k) / radii**2
@@ -492,7 +561,7 @@ class SOAP(_Local):
             tables.append((alpha * eta / (alpha + eta), eta**k * (alpha + eta) ** (-k - 1.5), root))
 
         def find(e: Edges) -> np.ndarray:
-            y, out = harmonics(e.d, self.l_max), []
+            y, out = harmonics(e.d, self.l_max) * self.weights(e)[:, None], []
             for k, (decay, front, root) in enumerate(tables):
                 raw = front * np.exp(-decay * e.r[:, None] ** 2) * e.r[:, None] ** k
                 g = pi**1.5 * raw @ root.T
@@ -501,6 +570,25 @@ class SOAP(_Local):
 
         return find
 
+    def polynomial(self) -> Callable[[Edges], np.ndarray]:
+        """By quadrature over the cutoff sphere's radius."""
+        x, w = np.polynomial.legendre.leggauss(100)
+        q, eta, types = self.radius * (x + 1) / 2, 1 / (2 * self.sigma**2), len(self.species)
+        pair = np.add.outer(np.arange(self.n_max), np.arange(self.n_max))
+        root = inverse_root(2 * self.radius ** (9.0 + pair) / ((7.0 + pair) * (8 + pair) * (9 + pair)))
+        radial = root @ np.array([(self.radius - q) ** (n + 3) for n in range(self.n_max)]) * (4 * pi * w * self.radius / 2 * q * q)
+
+        def find(e: Edges) -> np.ndarray:
+            y, out = harmonics(e.d, self.l_max) * self.weights(e)[:, None], []
+            z, near, front = 2 * eta * e.r[:, None] * q, np.exp(-eta * (e.r[:, None] - q) ** 2), 1.0
+            for k in range(self.l_max + 1):
+                front = front * z / (2 * k + 1) if k else front
+                bessel = scaled_kummer(k + 1.0, 2 * k + 2.0, 2 * z.ravel()).reshape(z.shape)
+                out.append(e.by_type((front * bessel * near @ radial.T)[:, :, None] * y[:, None, k * k : (k + 1) ** 2], types))
+            return np.concatenate(out, axis=3)
+
+        return find
+
     def kernel(self) -> Callable[[Edges], np.ndarray]:
         find = self.coefficients()
         if self.average == "inner":

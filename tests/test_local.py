@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 
+from latticeweave.errors import ConfigurationError
 from latticeweave.operators.local import MTP, SO3, SOAP, SoapPowerSpectrum, SoapRadialSpectrum, SphericalExpansion, SphericalExpansionByPair, harmonics, modified_bessel, scaled_kummer
 from latticeweave.operators.pairs import CoulombMatrix, EwaldSumMatrix
 from latticeweave.sources.structures import from_frames
@@ -131,6 +132,45 @@ def test_soap_equals_quadrature(spark, tables):
         assert features(tables, operator).shape[1] == operator.width == blocks * 3
 
 
+@pytest.mark.parametrize("weighting", [{}, {"function": "poly", "r0": 2.2, "c": 1.5, "m": 2, "w0": 0.3}, {"function": "pow", "r0": 1.0, "c": 1.0, "d": 0.5, "m": 3}, {"function": "exp", "r0": 2.0, "c": 1.0, "d": 0.5}])
+@pytest.mark.parametrize("rbf", ["gto", "polynomial"])
+def test_soap_bases_and_weights_equal_quadrature(spark, tables, rbf, weighting):
+    operator = SOAP(SPECIES, 2.2, 2, 1, 0.5, "off", rbf=rbf, weighting=weighting, species_weighting=(0.7, 1.2))
+    got = features(tables, operator)
+    r, wr, u, wu = grid(2.2 if rbf == "polynomial" else 8.0, 120, 24)
+    c = np.zeros((5, 2, 2, 4))
+    for k in range(2):
+        raw = np.array([(2.2 - r) ** n for n in (3, 4)])
+        if rbf == "gto":
+            radii = np.linspace(1.0, 2.2, 2)
+            raw = r**k * np.exp(np.log(1e-3 / radii**k)[:, None] / radii[:, None] ** 2 * r**2)
+        radial = lowdin(raw, wr)
+        for i, j in itertools.product(range(5), repeat=2):
+            d = P[j] - P[i]
+            far = np.linalg.norm(d)
+            if far > operator.reach:
+                continue
+            x = far / weighting.get("r0", 1)
+            weight = {"poly": lambda: 1.5 * (1 + 2 * x**3 - 3 * x**2) ** 2 if x <= 1 else 0.0, "pow": lambda: 1 / (0.5 + x**3), "exp": lambda: 1 / (0.5 + math.exp(-x))}.get(weighting.get("function"), lambda: 1.0)()
+            weight = (weighting.get("w0", weight) if i == j else weight) * (0.7, 1.2)[SPECIES.index(Z[j])]
+            density = lambda p, d=d: np.exp(-((p - d) ** 2).sum(1) / 0.5)
+            of = slice(k * k, (k + 1) ** 2)
+            c[i, SPECIES.index(Z[j]), :, of] += weight * projected(density, radial, r, wr, u, wu, 1)[of].T
+    for name, a, b, k, m, n in (("Z=1,1 l=0 n=0,1", 0, 0, 0, 0, 1), ("Z=1,8 l=1 n=1,0", 0, 1, 1, 1, 0)):
+        of = slice(k * k, (k + 1) ** 2)
+        want = math.pi * math.sqrt(8 / (2 * k + 1)) * (c[:, a, m, of] * c[:, b, n, of]).sum(1)
+        np.testing.assert_allclose(got[:, operator.labels().index(name)], want, rtol=1e-6, atol=1e-9)
+
+
+def test_soap_cutoff_follows_from_weighting():
+    assert SOAP(SPECIES).radius == 6.0 and SOAP(SPECIES, weighting={"function": "poly", "r0": 3.0, "c": 1, "m": 1}).radius == 3.0
+    assert SOAP(SPECIES, weighting={"function": "pow", "r0": 2.0, "c": 1, "d": 1, "m": 2}).radius == pytest.approx(2 * math.sqrt(99))
+    assert SOAP(SPECIES, weighting={"function": "exp", "r0": 2.0, "c": 1, "d": 1}).radius == pytest.approx(2 * math.log(99))
+    for wrong in ({"weighting": {"function": "x"}}, {"weighting": {"function": "pow", "r0": 1, "c": 1}}, {"rbf": "x"}, {"species_weighting": (1.0,)}, {"r_cut": 0.5}):
+        with pytest.raises(ConfigurationError):
+            SOAP(SPECIES, **wrong)
+
+
 def test_moment_tensors_equal_loops(spark, tables):
     operator = MTP(SPECIES, 0.2, 2.5, 2, 2, 3)
     got, channels = features(tables, operator), 8
