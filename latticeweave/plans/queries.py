@@ -17,6 +17,7 @@ from ..operators.pairs import AtomicComposition, CoulombMatrix, EwaldSumMatrix,
 from ..operators.rotational import SNAP, SO4, LBispectrum
 from ..operators.symmetry import ACSF, EAD
 from ..operators.tensors import LMBTR, MBTR, valle_oganov
+from ..operators.turbo import SOAPTurbo
 from ..sources.structures import LINEITEM_ATOMS, lineitem_structures
 
 SPECIES, CUTOFF, EDGE = (1, 6, 8), 3.5, 12.0
@@ -57,6 +58,8 @@ LOCAL = {
     "lbispectrum": LBispectrum(twojmax=4, rcut=CUTOFF),
     "nep": NEP(neural_model()),
     "c00ps_mlff": C00PSMLFF(SPECIES, CUTOFF, 4, 2),
+    "soap_polynomial": SOAP(SPECIES, CUTOFF, 3, 2, 0.5, "off", rbf="polynomial", weighting={"function": "poly", "r0": CUTOFF, "c": 1.0, "m": 1.0}),
+    "soap_turbo": SOAPTurbo(SPECIES, 3, 2, CUTOFF, CUTOFF - 0.5, compression="trivial"),
     "mtp": MTP(SPECIES, max_dist=CUTOFF, radial_basis_size=2),
 }
 
