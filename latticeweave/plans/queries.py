@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import erf_sql, erfc_sql
 from ..operators.bessel import C00PSMLFF
+from ..operators.cluster import ACE
 from ..operators.local import MTP, SO3, SOAP, SoapPowerSpectrum, SoapRadialSpectrum, SphericalExpansion, SphericalExpansionByPair
 from ..operators.longrange import LodeSphericalExpansion
 from ..operators.neural import NEP
@@ -60,6 +61,7 @@ LOCAL = {
     "c00ps_mlff": C00PSMLFF(SPECIES, CUTOFF, 4, 2),
     "soap_polynomial": SOAP(SPECIES, CUTOFF, 3, 2, 0.5, "off", rbf="polynomial", weighting={"function": "poly", "r0": CUTOFF, "c": 1.0, "m": 1.0}),
     "soap_turbo": SOAPTurbo(SPECIES, 3, 2, CUTOFF, CUTOFF - 0.5, compression="trivial"),
+    "ace": ACE(SPECIES, N=3, maxdeg=5.0, rcut=CUTOFF),
     "mtp": MTP(SPECIES, max_dist=CUTOFF, radial_basis_size=2),
 }
 

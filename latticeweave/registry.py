@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import MISSING, fields
 
 from .errors import ConfigurationError
-from .operators import bessel, local, longrange, neural, pairs, rotational, symmetry, tensors, turbo
+from .operators import bessel, cluster, local, longrange, neural, pairs, rotational, symmetry, tensors, turbo
 from .operators.base import Operator
 
 OPERATORS: dict[str, type[Operator]] = {
     c.__name__: c
     for c in (
-        bessel.C00PSMLFF, longrange.LodeSphericalExpansion, symmetry.ACSF, symmetry.EAD, pairs.AtomicComposition, pairs.CoulombMatrix, pairs.EwaldSumMatrix, pairs.NeighborList,
+        bessel.C00PSMLFF, cluster.ACE, longrange.LodeSphericalExpansion, symmetry.ACSF, symmetry.EAD, pairs.AtomicComposition, pairs.CoulombMatrix, pairs.EwaldSumMatrix, pairs.NeighborList,
         pairs.SineMatrix, pairs.SortedDistances, tensors.LMBTR, tensors.MBTR, local.MTP, local.SO3, local.SOAP,
         local.SoapPowerSpectrum, local.SoapRadialSpectrum, local.SphericalExpansion, local.SphericalExpansionByPair, neural.NEP,
         rotational.LBispectrum, rotational.SNAP, rotational.SO4, turbo.SOAPTurbo,
