@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log, pi, sqrt
+from math import erfc, log, pi, sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import erfc_sql
 from ..plans.edges import framed, half_list, neighbor_edges
 from .base import Operator, require, type_index
 
+#: Distances of a structure held at once.
+PIECE = 1 << 21
+_erfc = np.vectorize(erfc, otypes=[float])
+
 
 @dataclass(frozen=True)
 class AtomicComposition(Operator):
@@ -224,32 +228,51 @@ class EwaldSumMatrix(_PairMatrix):
         return found.withColumns({"rc": rc, "gc": gc})
 
     def elements(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
-        known = self.screened(structures, atoms)
-        scalars = known.select("structure_id", "alpha", "volume")
-        half = F.when(F.col("i") == F.col("j"), 0.5).otherwise(1.0)
-        charges = F.col("zi") * F.col("zj") * half
-        edges = neighbor_edges(known, atoms, F.col("rc")).where("d2 > 1e-16").join(scalars, "structure_id")
-        edges = edges.withColumns({"r": F.sqrt("d2"), "u": F.col("alpha") * F.sqrt("d2")})
-        real = edges.select("structure_id", "i", "j", (charges * F.expr(erfc_sql("u")) / F.col("r")).alias("value"))
-        waves = self.waves(known)
-        phase = sum((F.col(f"g{k}") * (F.col(f"{c}i") - F.col(f"{c}j")) for k, c in enumerate("xyc")), F.lit(0.0))
-        pairs = self.pairs(atoms)
-        recip = pairs.join(waves, "structure_id").select("structure_id", "i", "j", (charges * F.col("factor") * F.cos(phase)).alias("value"))
-        flat = -pi / (F.col("volume") * F.col("alpha") * F.col("alpha"))
-        own = F.when(F.col("i") == F.col("j"), F.col("alpha") / sqrt(pi) * F.col("zi") * F.col("zi")).otherwise(0.0)
-        rest = pairs.join(scalars, "structure_id").select("structure_id", "i", "j", (charges * flat - own).alias("value"))
-        return real.unionByName(recip).unionByName(rest).groupBy("structure_id", "i", "j").agg(F.sum("value").alias("value"))
-
-    def waves(self, known: DataFrame) -> DataFrame:
-        """structure_id, g0..g2, factor (8 pi / V exp(-G^2 / 4 alpha^2) / G^2) for one of each pair of vectors within gc."""
-        frames = framed(known, 1.0).select("structure_id", "inverse").join(known, "structure_id")
-        for k in range(3):
-            length = F.sqrt(sum((F.get("cell", F.lit(3 * k + c)) ** 2 for c in range(3)), F.lit(0.0)))
-            top = F.floor(F.col("gc") * length / (2 * pi)).cast("int")
-            frames = frames.select("*", F.explode(F.sequence(F.lit(0) if k == 0 else -top, top)).alias(f"n{k}"))
-        one = (F.col("n0") > 0) | ((F.col("n0") == 0) & ((F.col("n1") > 0) | ((F.col("n1") == 0) & (F.col("n2") > 0))))
-        vector = {f"g{r}": 2 * pi * sum((F.get("inverse", F.lit(3 * r + k)) * F.col(f"n{k}") for k in range(3)), F.lit(0.0)) for r in range(3)}
-        frames = frames.where(one).withColumns(vector)
-        frames = frames.withColumn("q", F.col("g0") * F.col("g0") + F.col("g1") * F.col("g1") + F.col("g2") * F.col("g2"))
-        factor = 8 * pi / F.col("volume") * F.exp(-F.col("q") / (4 * F.col("alpha") * F.col("alpha"))) / F.col("q")
-        return frames.where(F.col("q") <= F.col("gc") * F.col("gc")).select("structure_id", "g0", "g1", "g2", factor.alias("factor"))
+        """A structure's atoms meet in one row, as its matrix does later; sums over images and waves are made there."""
+        gathered = atoms.groupBy("structure_id").agg(F.collect_list(F.struct("atom_index", "z", "x", "y", "zc")).alias("atoms"))
+        known = self.screened(structures, atoms).select("structure_id", "cell", "volume", "alpha", "rc", "gc")
+        return gathered.join(known, "structure_id").mapInArrow(_ewald_rows, "structure_id long, i int, j int, value double")
+
+
+def ewald_sums(cell: np.ndarray, z: np.ndarray, at: np.ndarray, volume: float, alpha: float, rc: float, gc: float) -> np.ndarray:
+    """(atoms, atoms): images in pieces of PIECE distances, waves as products of cosines and sines."""
+    inverse, charges, total = np.linalg.inv(cell), np.outer(z, z), np.full((len(z), len(z)), -pi / (volume * alpha**2))
+    apart = (at[None, :] - at[:, None]) @ inverse
+    apart -= np.round(apart)
+    tops = np.floor(rc * np.sqrt((inverse**2).sum(0)) + 0.5).astype(int)
+    shifts = np.stack(np.meshgrid(*[np.arange(-t, t + 1) for t in tops], indexing="ij"), -1).reshape(-1, 3)
+    step = max(1, PIECE // max(1, charges.size))
+    for start in range(0, len(shifts), step):
+        d = (apart + shifts[start : start + step, None, None]) @ cell
+        square = (d * d).sum(-1)
+        near = (square > 1e-16) & (square <= rc * rc)
+        r = np.sqrt(square[near])
+        values = np.zeros(square.shape)
+        values[near] = _erfc(alpha * r) / r
+        total += values.sum(0)
+    tops = np.floor(gc * np.sqrt((cell**2).sum(1)) / (2 * pi)).astype(int)
+    n = np.stack(np.meshgrid(*[np.arange(-t, t + 1) for t in tops], indexing="ij"), -1).reshape(-1, 3)
+    # The second half of all vectors: one of each opposite pair.
+    g = 2 * pi * n[len(n) // 2 + 1 :] @ inverse.T
+    q = (g * g).sum(1)
+    g, q = g[q <= gc * gc], q[q <= gc * gc]
+    factor, phase = 8 * pi / volume * np.exp(-q / (4 * alpha**2)) / q, at @ g.T
+    c, s = np.cos(phase), np.sin(phase)
+    total += (c * factor) @ c.T + (s * factor) @ s.T
+    own = np.eye(len(z))
+    return charges * total * (1 - own / 2) - own * charges * alpha / sqrt(pi)
+
+
+def _ewald_rows(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        columns = {c: batch.column(c).to_numpy() for c in ("structure_id", "volume", "alpha", "rc", "gc")}
+        for row in range(batch.num_rows):
+            atoms = batch.column("atoms")[row].values
+            get = lambda name: atoms.field(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            cell = np.array(batch.column("cell")[row].as_py()).reshape(3, 3)
+            m = ewald_sums(cell, get("z").astype(float), np.stack([get("x"), get("y"), get("zc")], 1), *[columns[c][row] for c in ("volume", "alpha", "rc", "gc")])
+            index = get("atom_index")
+            ids = np.full(m.size, columns["structure_id"][row])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids, np.repeat(index, len(index)), np.tile(index, len(index)), m.ravel())], ["structure_id", "i", "j", "value"])
