@@ -60,5 +60,16 @@ class Operator:
         dense = F.transform(F.sequence(F.lit(0), F.lit(self.width - 1)), lambda k: F.coalesce(F.element_at(F.col("m"), k), F.lit(0.0)))
         return every.join(cells, keys, "left").select(*keys, dense.alias("features"))
 
+    def sparse(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
+        """compute()'s rows with the positions and values of what is not zero, positions ascending."""
+        cells = F.transform("features", lambda v, k: F.struct(k.alias("position"), v.alias("value")))
+        found = self.compute(structures, atoms).withColumn("cells", F.filter(cells, lambda c: c["value"] != 0))
+        return found.select(*[c for c in found.columns if c not in ("features", "cells")], F.lit(self.width).alias("width"), F.col("cells.position").alias("positions"), F.col("cells.value").alias("values"))
 
-__all__ = ["ConfigurationError", "InputError", "Operator", "cosine_cutoff", "require", "type_index"]
+
+def as_float32(computed: DataFrame) -> DataFrame:
+    """Single-precision features or values; other columns stay."""
+    return computed.withColumns({c: F.col(c).cast("array<float>") for c in ("features", "values") if c in computed.columns})
+
+
+__all__ = ["ConfigurationError", "InputError", "Operator", "as_float32", "cosine_cutoff", "require", "type_index"]

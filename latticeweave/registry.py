@@ -19,6 +19,10 @@ OPERATORS: dict[str, type[Operator]] = {
 }
 
 
+#: Operators that also give energies and forces, by predict().
+PREDICTORS = {"NEP": neural.NEP}
+
+
 def get_descriptor(name: str) -> type[Operator]:
     if name not in OPERATORS:
         raise ConfigurationError(f"unknown operator {name}", "descriptor", known=sorted(OPERATORS))

@@ -116,3 +116,19 @@ def test_erf(spark):
     other = duckdb.sql(f"SELECT {erf_sql('x', '')} FROM (SELECT unnest({xs}::DOUBLE[]) AS x)").fetchall()
     for x, r, (o,) in zip(xs, got, other, strict=True):
         assert r.a == pytest.approx(math.erf(x), abs=1e-15) and r.b == pytest.approx(math.erfc(x), rel=5e-13, abs=1e-300) and o == pytest.approx(r.a, abs=1e-15)
+
+
+def test_sparse_and_single_precision(spark):
+    from latticeweave.operators.base import as_float32
+    from latticeweave.operators.symmetry import ACSF
+    from latticeweave.sources.structures import from_frames
+
+    tables = from_frames(spark, [{"numbers": [1, 8, 1], "positions": [[0, 0, 0], [1, 0, 0], [9, 9, 9]]}])
+    operator = ACSF((1, 8), 3.0, g2=((0.5, 0.0),))
+    dense = {r.atom_index: r.features for r in operator.compute(*tables).collect()}
+    for row in operator.sparse(*tables).collect():
+        assert row.width == operator.width
+        want = [(k, v) for k, v in enumerate(dense[row.atom_index]) if v != 0]
+        assert list(zip(row.positions, row["values"])) == want
+    single = as_float32(operator.compute(*tables))
+    assert dict(single.dtypes)["features"] == "array<float>" and dict(as_float32(operator.sparse(*tables)).dtypes)["values"] == "array<float>"
