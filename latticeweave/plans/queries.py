@@ -36,12 +36,12 @@ TENSORS = {
 }
 
 
-def neural_model(radial: int = 4, angular: int = 3, basis: int = 6, l_max: int = 4, neurons: int = 10) -> str:
+def neural_model(radial: int = 4, angular: int = 3, basis: int = 6, l_max: int = 4, neurons: int = 10, many_body: bool = True) -> str:
     """A screened model of the queries' elements with drawn numbers: no trained one comes with the package."""
-    width, pairs = radial + 1 + (angular + 1) * (l_max + 2), len(SPECIES) ** 2
+    width, pairs = radial + 1 + (angular + 1) * (l_max + 2 * many_body), len(SPECIES) ** 2
     count = (width + 2) * neurons * len(SPECIES) + 1 + pairs * (basis + 1) * (radial + angular + 2)
     numbers = [*np.random.default_rng(4).normal(scale=0.1, size=count), *[1.0] * width]
-    head = f"nep4_zbl {len(SPECIES)} H C O\nzbl 0.5 1.0\ncutoff {CUTOFF} 3.0 500 200\nn_max {radial} {angular}\nbasis_size {basis} {basis}\nl_max {l_max} 2 1\nANN {neurons} 0\n"
+    head = f"nep4_zbl {len(SPECIES)} H C O\nzbl 0.5 1.0\ncutoff {CUTOFF} 3.0 500 200\nn_max {radial} {angular}\nbasis_size {basis} {basis}\nl_max {l_max} {2 * many_body} {1 * many_body}\nANN {neurons} 0\n"
     return head + "\n".join(f"{v:.9e}" for v in numbers)
 
 
@@ -62,9 +62,12 @@ LOCAL = {
     "soap_polynomial": SOAP(SPECIES, CUTOFF, 3, 2, 0.5, "off", rbf="polynomial", weighting={"function": "poly", "r0": CUTOFF, "c": 1.0, "m": 1.0}),
     "soap_turbo": SOAPTurbo(SPECIES, 3, 2, CUTOFF, CUTOFF - 0.5, compression="trivial"),
     "ace": ACE(SPECIES, N=3, maxdeg=5.0, rcut=CUTOFF),
-    "mtp": MTP(SPECIES, max_dist=CUTOFF, radial_basis_size=2),
 }
 
+TENSOR_MOMENTS = MTP(SPECIES, max_dist=CUTOFF, radial_basis_size=2)
+#: Of low angular order, where the invariants are short in SQL.
+NEURAL = NEP(neural_model(angular=2, basis=4, l_max=2, many_body=False))
+
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -103,6 +106,8 @@ QUERIES = {
     "sine_matrix": _query(SineMatrix(16, "none"), periodic=True),
     "sine_matrix_spectrum": _query(SineMatrix(16, "eigenspectrum"), periodic=True),
     "ewald_sum_matrix": _query(EwaldSumMatrix(16, "none"), periodic=True),
+    "mtp": _query(TENSOR_MOMENTS),
+    "nep_low": _query(NEURAL),
     "nep_predict": lambda spark, sf_dir: rounded(LOCAL["nep"].predict(*lineitem_structures(spark, sf_dir))),
     "lode_spherical_expansion": _query(LodeSphericalExpansion(SPECIES, CUTOFF, 0.5, 2, 2, 1.5), periodic=True),
     **{name: _dense(operator) for name, operator in LOCAL.items()},
@@ -225,7 +230,40 @@ parts AS (SELECT structure_id, i, j, q * {erfc_sql('u', '')} / r AS value FROM s
   UNION ALL SELECT structure_id, i, j, -q * {pi / EDGE**3!r}::DOUBLE / (alpha * alpha) - CASE WHEN i = j THEN alpha / {sqrt(pi)!r} * zi * zi ELSE 0 END FROM p)
 SELECT structure_id, (i * 16 + j)::INT AS feature, {_R.format('sum(value)')} AS value FROM parts GROUP BY structure_id, i, j"""
 
+_DIRECTED = "dx / r AS ux, dy / r AS uy, dz / r AS uz"
+_MOMENTS = "sum(g) AS m, sum(g * ux) AS x, sum(g * uy) AS y, sum(g * uz) AS z, sum(g * ux * ux) AS xx, sum(g * uy * uy) AS yy, sum(g * uz * uz) AS zz, sum(g * ux * uy) AS xy, sum(g * ux * uz) AS xz, sum(g * uy * uz) AS yz"
+_DOTS = ("a.m * b.m", "a.x * b.x + a.y * b.y + a.z * b.z", "a.xx * b.xx + a.yy * b.yy + a.zz * b.zz + 2 * (a.xy * b.xy + a.xz * b.xz + a.yz * b.yz)")
+
+
+def _moment_sql() -> str:
+    """Two radial functions a species, ranks to two: traces, then dot products of channel pairs."""
+    parts = [f"SELECT structure_id, atom_index, c * 2 + {k} AS feature, m AS value FROM moments" for k in range(2)]
+    both = "FROM moments a JOIN moments b ON a.structure_id = b.structure_id AND a.atom_index = b.atom_index AND a.c <= b.c"
+    parts += [f"SELECT a.structure_id, a.atom_index, {12 + 21 * k} + a.c * 6 - a.c * (a.c - 1) // 2 + b.c - a.c AS feature, {dot} AS value {both}" for k, dot in enumerate(_DOTS)]
+    return f"""WITH {_EDGES}, e AS (SELECT *, {_DIRECTED}, power(0.5 * (1 + cos({pi!r} * r / {CUTOFF})), 2) * CASE n WHEN 0 THEN 1 ELSE 2 * r / {CUTOFF} - 1 END AS g FROM edges, (VALUES (0), (1)) k(n)),
+moments AS (SELECT structure_id, i AS atom_index, t * 2 + n AS c, {_MOMENTS} FROM e GROUP BY ALL)
+SELECT structure_id, atom_index, feature::INT AS feature, {_R.format("value")} AS value FROM ({" UNION ALL ".join(parts)}) WHERE value <> 0"""
+
+
+def _neural_sql() -> str:
+    """Radial sums, then the first two Legendre sums over pairs of neighbours, from moments."""
+    model = NEURAL.parsed
+    rows = [f"({a}, {b}, {part}, {n}, {k}, {float(v)!r})" for part, table in enumerate((model.radial, model.angular)) for (a, b, n, k), v in np.ndenumerate(table)]
+    radial, angular = model.radial.shape[2], model.angular.shape[2]
+    x = "2 * power(r / rc - 1, 2) - 1"
+    first = f"SELECT structure_id, atom_index, n AS feature, m AS value FROM moments WHERE part = 0"
+    one, two = (f"SELECT a.structure_id, a.atom_index, {radial + k * angular} + a.n AS feature, {v} AS value FROM moments a JOIN moments b USING (structure_id, atom_index, part, n) WHERE part = 1" for k, v in enumerate((f"{3 / (4 * pi)!r} * ({_DOTS[1]})", f"{5 / (4 * pi)!r} * (1.5 * ({_DOTS[2]}) - 0.5 * a.m * b.m)")))
+    return f"""WITH {_EDGES}, c AS (SELECT * FROM (VALUES {", ".join(rows)}) v(ti, t, part, n, k, w)),
+near AS (SELECT edges.*, {_TYPES.format("zi")} AS ti, part, rc, {_DIRECTED} FROM edges, (VALUES (0, {CUTOFF}::DOUBLE), (1, 3.0::DOUBLE)) p(part, rc) WHERE r < rc),
+e AS (SELECT structure_id, i, j, sx, sy, sz, part, n, any_value(ux) AS ux, any_value(uy) AS uy, any_value(uz) AS uz,
+      sum(w * 0.5 * (cos(k * acos(greatest(-1, least(1, {x})))) + 1) * (0.5 * cos({pi!r} * r / rc) + 0.5)) AS g FROM near JOIN c USING (ti, t, part) GROUP BY structure_id, i, j, sx, sy, sz, part, n),
+moments AS (SELECT structure_id, i AS atom_index, part, n, {_MOMENTS} FROM e GROUP BY ALL)
+SELECT structure_id, atom_index, feature::INT AS feature, {_R.format("value")} AS value FROM ({first} UNION ALL {one} UNION ALL {two}) WHERE value <> 0"""
+
+
 ORACLE_SQL = {
+    "mtp": _moment_sql(),
+    "nep_low": _neural_sql(),
     "ewald_sum_matrix": _EWALD,
     "mbtr_atomic_number": _histogram(TENSORS["mbtr_atomic_number"], f"SELECT structure_id, {_TYPES.format('z')} AS channel, z::DOUBLE AS v, 1 AS w FROM atoms WHERE structure_id % 2 = 0", "value / (SELECT count(*) FROM atoms a WHERE a.structure_id = h.structure_id)"),
     "mbtr_distance": _histogram(TENSORS["mbtr_distance"], _PAIRED.format("CASE WHEN exp(-2.0 * r) >= 1e-3 THEN exp(-2.0 * r) ELSE 0 END"), "value / sqrt(sum(value * value) OVER (PARTITION BY structure_id))"),
