@@ -101,6 +101,11 @@ class ACE(_Local):
     def reach(self) -> float:
         return self.rcut
 
+    @property
+    def keeps_self(self) -> bool:
+        """The constant holds for atoms without neighbours, too."""
+        return self.constants
+
     def limit(self, order: int) -> float:
         return self.maxdeg[order - 1] if isinstance(self.maxdeg, (tuple, list)) else self.maxdeg
 

@@ -65,6 +65,8 @@ class _Bispectrum(_Local):
     rcut: float = 3.5
     normalize_U: bool = False
     typed = False
+    #: An atom without neighbours still has its own identity.
+    keeps_self = True
     rfac0 = 1.0
     rmin0 = 0.0
 
@@ -97,21 +99,21 @@ class _Bispectrum(_Local):
         tables = {p: coupling(*p) for p in parts}
 
         def invariants(e: Edges) -> np.ndarray:
-            of = e.centres()
-            within = self.cutoffs(e.zi[of], e.z)
+            within = self.cutoffs(e.zi[e.centres()], e.z)
             near = (e.r > NEAREST) & (e.r <= within) & ~e.own
-            r, within, of = e.r[near], within[near], of[near]
-            x = (r - rmin) / np.maximum(within - rmin, 1e-12)
-            fade = np.where(x <= 0, 1.0, 0.5 * (np.cos(pi * x) + 1)) * self.weights(e.z[near], False)
+            x = (e.r - rmin) / np.maximum(within - rmin, 1e-12)
+            fade = np.where(near, np.where(x <= 0, 1.0, 0.5 * (np.cos(pi * x) + 1)) * self.weights(e.z, False), 0.0)
+            d = np.where(near[:, None], e.d, [0.0, 0.0, 1.0])
             sums = []
-            for j, values in enumerate(rotation_matrices(e.d[near], self.rfac0 * pi * x, top)):
-                total = np.eye(j + 1) * self.weights(e.zi, True)[:, None, None] + 0j
-                np.add.at(total, of, values * fade[:, None, None])
+            for j, values in enumerate(rotation_matrices(d, self.rfac0 * pi * x, top)):
+                total = np.eye(j + 1) * self.weights(e.zi, True)[:, None, None] + e.total(values * fade[:, None, None])
                 sums.append(total * (4 * pi / sqrt(j + 1) if self.normalize_U else 1.0))
             out = np.empty((len(e.zi), len(parts)))
             for at, (a, b, c) in enumerate(parts):
+                # Couple rows with rows, then columns with columns, as two matrix products.
                 table = tables[a, b, c]
-                product = np.einsum("pqm,rsn,xpr,xqs->xmn", table, table, sums[a], sums[b], optimize=True)
+                half = np.tensordot(sums[a], table, (1, 0)).transpose(0, 3, 1, 2).reshape(len(out), -1, b + 1) @ sums[b]
+                product = half.reshape(len(out), c + 1, -1) @ table.reshape(-1, c + 1)
                 out[:, at] = (sums[c].conj() * product).sum((1, 2)).real
             return out
 

@@ -74,3 +74,9 @@ def test_errors():
     for wrong in ({"N": 0}, {"rin": 6.0}, {"maxdeg": (5.0,)}, {"maxdeg": (5.0, 4.0, 3.0)}, {"p": 0.0}, {"csp": -1.0}):
         with pytest.raises(ConfigurationError):
             ACE(SPECIES, **wrong)
+
+
+def test_constant_of_a_lonely_atom(spark):
+    alone = from_frames(spark, [{"numbers": [8], "positions": [[0, 0, 0]]}])
+    got = ACE(SPECIES, N=2, maxdeg=4.0, rcut=3.0, constants=True).compute(*alone).first().features
+    assert got[0] == 1.0 and not any(got[1:])

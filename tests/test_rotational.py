@@ -79,6 +79,8 @@ def test_component_lists():
             LBispectrum(**wrong)
 
 
-def test_isolated_atom_keeps_its_width(spark):
-    alone = from_frames(spark, [{"numbers": [1], "positions": [[0, 0, 0]]}])
-    assert len(SO4(1).compute(*alone).first().features) == SO4(1).width
+def test_isolated_atom_has_its_identity(spark):
+    alone = from_frames(spark, [{"numbers": [8], "positions": [[0, 0, 0]]}])
+    got = SO4(1).compute(*alone).first().features
+    # Of identities the sum over couplings of j to itself is its dimension.
+    np.testing.assert_allclose(got, [8.0**3 * (c + 1) for _, _, c in SO4(1).components()], rtol=1e-12)
