@@ -286,6 +286,14 @@ def test_quality_counts_and_model(spark, docs):
     np.testing.assert_allclose(table_[np.unique(code // quality.K)].sum(axis=1), 1, rtol=1e-5)
 
 
+def test_quality_bands_reject_labelled_junk(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op9_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("not base_failed").toPandas()
+    bad, good = (1 - got[got.quality == q].kept.mean() for q in (0, 1))
+    assert bad > 0.7 and good < 0.03
+    assert not got[got.doc_id.isin([2021, 827, 4314])].kept.any()  # symbol junk
+
+
 @pytest.mark.parametrize("shard", [200, 8 << 20])
 def test_decontamination_spans_and_shards(spark, shard):
     item = " ".join(f"w{i}" for i in range(14))
