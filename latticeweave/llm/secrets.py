@@ -2,7 +2,7 @@
 
 Base kinds are found by pattern: ``assign``, ``access`` and ``hex``. The parts of a credential are then linked:
 access identifiers (``access`` spans, and ``client_id``-like assignments), endpoints (URLs and host:port) and weak
-candidates (a run of 24 to 128 base64 characters that mixes cases and digits). A weak candidate alone says little, so
+candidates (a run of 24 or more base64 characters that mixes cases and digits, also right behind a "="). A weak candidate alone says little, so
 it is reported, as kind ``weak``, only if an access identifier or an endpoint starts in the same scope: an interval
 join of its [start - scope, end + scope) with the other parts' starts, within one text.
 
@@ -23,7 +23,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}+", r"(?<![0-9a-f])[0-9a-f]{32,}+"
 IDENTIFIER = r"""(?i)(?:client|account|access|user)_?(?:key_?)?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}+"""
 ENDPOINT = r"(?:https?|ftp|s3|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|redis|amqps?|mongodb)://[A-Za-z0-9.-]++"
-WEAK = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*+)(?=[^0-9\s]*+[0-9])(?=[^A-Z\s]*+[A-Z])(?=[^a-z\s]*+[a-z])[A-Za-z0-9+/_-]{24,128}+=*+(?![A-Za-z0-9+/_=-])"
+#: "=" before a run separates, behind it it pads. A run follows no character of its own kind, and looks ahead in itself only.
+WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{24,}+=*+"
 KINDS = ("assign", "access", "hex", "weak")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
