@@ -41,3 +41,11 @@ def test_empty_and_odd_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             frame = written(stage(spark, frame, SF))
         assert quality.K == 48 and frame.columns == docs.columns
+
+
+def test_one_row_stays_of_each_component(spark):
+    same, other = "one two three four five six seven eight nine ten", "a wholly different text of some other twelve words for this test"
+    rows = [(None, same), (7, same), (7, same), (3, same), (3, same), (None, other), (None, other)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table(spark, SF, "documents").schema)
+    got = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, other), (3, same)]
