@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from math import pi, sqrt
 
+import numpy as np
+
 # The published coefficients.
 SMALL_P = (3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03, 1.85777706184603153e-1)
 SMALL_Q = (2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03)
@@ -31,6 +33,23 @@ def erfc_positive_sql(y: str) -> str:
     return f"(CASE WHEN {y} > 26 THEN 0.0D ELSE exp(-{y}*{y})*(CASE WHEN {y} <= 4 THEN {_ratio(MIDDLE_P, MIDDLE_Q, y)} ELSE {large} END) END)"
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    """The same approximations on arrays."""
+    y, square = np.abs(x), x * x
+    poly = lambda c, at: np.polyval((c[-1], *c[:-1]), at)
+    monic = lambda c, at: np.polyval((1.0, *c), at)
+    near = y <= 0.46875
+    small = x * poly(SMALL_P, np.where(near, square, 0.0)) / monic(SMALL_Q, np.where(near, square, 0.0))
+    if near.all():
+        return small
+    mid = np.where(near, 1.0, np.minimum(y, 4.0))
+    rest = poly(MIDDLE_P, mid) / monic(MIDDLE_Q, mid)
+    if (y > 4).any():
+        inside = 1 / np.where(y > 4, np.minimum(square, 700.0), 16.0)
+        rest = np.where(y > 4, (1 / sqrt(pi) - inside * poly(LARGE_P, inside) / monic(LARGE_Q, inside)) / np.maximum(y, 4.0), rest)
+    return np.where(near, small, np.sign(x) * (1 - np.exp(-np.minimum(square, 700.0)) * rest))
+
+
 def erf_sql(x: str, double: str = "D") -> str:
     """erf of a column or parenthesised expression. double: suffix of double literals ('' outside Spark)."""
     y = f"abs({x})"

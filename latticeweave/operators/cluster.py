@@ -54,7 +54,7 @@ def symmetric(factors: tuple[tuple[int, int, int], ...]) -> tuple[np.ndarray, np
         if all(factors[p] == f for p, f in zip(order, factors)):
             gram += basis @ basis[:, [place[tuple(m[p] for p in order)] for m in every.tolist()]].T
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    keep = values > RANK * values[-1]
+    keep = values > RANK * max(1.0, values[-1])  # a matrix of rounding errors alone has no invariant
     rows = (vectors[:, keep] * np.sqrt(values[keep])).T @ basis
     first = np.abs(rows).argmax(1)
     return every, rows * np.sign(rows[np.arange(len(rows)), first])[:, None]

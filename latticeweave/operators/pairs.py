@@ -211,6 +211,7 @@ class EwaldSumMatrix(_PairMatrix):
     def __post_init__(self) -> None:
         super().__post_init__()
         require(0 < self.accuracy < 1, "accuracy lies between 0 and 1", "accuracy")
+        require(self.w > 0, "w is positive", "w")
         require((self.r_cut is None) == (self.g_cut is None), "r_cut and g_cut are given together", "g_cut")
 
     def screened(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:

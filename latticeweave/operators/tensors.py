@@ -5,16 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import log, pi, sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import erf_sql
+from ..functions.special import erf
 from ..plans.edges import neighbor_edges
 from .base import Operator, require, type_index
 
 PAIR, ANGLE = ("distance", "inverse_distance"), ("angle", "cosine")
 #: Fixed value: a Gaussian counts up to this many widths from its centre.
 TAIL = 8
+#: Observations smeared at once.
+BLOCK = 4096
 
 
 def upper(a: Column, b: Column, n: int) -> Column:
@@ -23,6 +26,44 @@ def upper(a: Column, b: Column, n: int) -> Column:
     return (low * n - F.floor(low * (low + 1) / 2) + high).cast("int")
 
 
+def _smeared(operator: MBTR):
+    """Observations to sums by row and bin: erf is taken once at each grid edge, and a batch's rows of one feature are
+    added before they leave. A bin takes part where it is within TAIL widths, as if each observation had its own list."""
+    grid = operator.grid_n
+    dx, tail, root = (operator.grid_max - operator.grid_min) / (grid - 1), TAIL * operator.grid_sigma, operator.grid_sigma * sqrt(2)
+    factor = (1.0 if operator.normalize_gaussians else operator.grid_sigma * sqrt(2 * pi)) / dx / 2
+    edges = operator.grid_min - dx / 2 + dx * np.arange(grid + 1)
+    keys = operator.keys
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                rows = batch.slice(start, BLOCK)
+                v, w, channel = (rows.column(c).to_numpy() for c in ("v", "w", "channel"))
+                low = np.clip(np.ceil((v - tail - operator.grid_min - dx / 2) / dx), 0, grid - 1).astype(int)
+                high = np.clip(np.floor((v + tail - operator.grid_min + dx / 2) / dx), 0, grid - 1).astype(int)
+                parts = np.diff(erf((edges - v[:, None]) / root), axis=1) * (factor * w)[:, None]
+                bins = np.arange(grid)
+                inside = (bins >= low[:, None]) & (bins <= high[:, None])
+                named = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in keys], 1)
+                order = np.lexsort(named.T[::-1])
+                changed = np.concatenate(([True], (np.diff(named[order], axis=0) != 0).any(1)))
+                own = np.empty(len(order), int)
+                own[order] = np.cumsum(changed) - 1
+                width = int(channel.max()) + 1
+                cell = ((own * width + channel)[:, None] * grid + bins)[inside]
+                cells, at = np.unique(cell, return_inverse=True)
+                sums = np.bincount(at, parts[inside], len(cells))
+                which, feature = np.divmod(cells, width * grid)
+                heads = named[order][changed][which]
+                columns = [pa.array(heads[:, k], rows.schema.field(name).type) for k, name in enumerate(keys)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(feature.astype(np.int32)), pa.array(sums)], [*keys, "feature", "value"])
+
+    return run
+
+
 @dataclass(frozen=True)
 class MBTR(Operator):
     """One histogram of grid_n bins per channel and structure; periodic structures only.
@@ -132,17 +173,10 @@ class MBTR(Operator):
         return F.col("r") if self.geometry == "distance" else 1 / F.col("r")
 
     def plan(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
-        dx, tail, last = (self.grid_max - self.grid_min) / (self.grid_n - 1), TAIL * self.grid_sigma, self.grid_n - 1
+        tail = TAIL * self.grid_sigma
         seen = self.observations(structures, atoms).where(F.col("w") != 0).where(F.col("v").between(self.grid_min - tail, self.grid_max + tail))
-        low = F.least(F.lit(last), F.greatest(F.lit(0), F.ceil((F.col("v") - tail - self.grid_min - dx / 2) / dx))).cast("int")
-        high = F.greatest(F.lit(0), F.least(F.lit(last), F.floor((F.col("v") + tail - self.grid_min + dx / 2) / dx))).cast("int")
-        spread = seen.withColumns({"low": low, "high": high}).where("low <= high").select(*self.keys, "channel", "v", "w", F.explode(F.sequence("low", "high")).alias("bin"))
-        root = self.grid_sigma * sqrt(2)
-        start = (self.grid_min - dx / 2 + F.col("bin") * dx - F.col("v")) / root
-        spread = spread.withColumns({"a": start, "b": start + dx / root})
-        factor = (1.0 if self.normalize_gaussians else self.grid_sigma * sqrt(2 * pi)) / dx / 2
-        part = F.col("w") * factor * (F.expr(erf_sql("b")) - F.expr(erf_sql("a")))
-        sums = spread.groupBy(*self.keys, (F.col("channel") * self.grid_n + F.col("bin")).alias("feature")).agg(F.sum(part).alias("value"))
+        found = seen.select(*self.keys, F.col("channel").cast("int").alias("channel"), "v", "w").mapInArrow(_smeared(self), ", ".join(f"{k} {t}" for k, t in seen.select(*self.keys).dtypes) + ", feature int, value double")
+        sums = found.groupBy(*self.keys, "feature").agg(F.sum("value").alias("value"))
         return self.normalized(sums, structures, atoms)
 
     def normalized(self, sums: DataFrame, structures: DataFrame, atoms: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from ..operators.turbo import SOAPTurbo
 from ..sources.structures import LINEITEM_ATOMS, lineitem_structures
 
 SPECIES, CUTOFF, EDGE = (1, 6, 8), 3.5, 12.0
+#: Row length of the matrices: above the lines of any order at every scale.
+ROOM = 64
 SYMMETRY = ACSF(SPECIES, CUTOFF, g2=((0.5, 0.0), (1.0, 1.5)), g3=(1.0,), g4=((0.05, 1.0, 1.0), (0.05, 2.0, -1.0)), g5=((0.1, 1.0, 1.0),))
 DENSITY = EAD(L=2, eta=(0.1, 0.5), Rs=(0.0,), Rc=CUTOFF)
 #: Tensor queries share the edges' radius, so that one edge relation serves their SQL.
@@ -75,10 +77,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _query(make, periodic: bool | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        structures, atoms = lineitem_structures(spark, sf_dir)
-        if periodic is not None:
-            structures = structures.where(F.col("periodic") == periodic)
-            atoms = atoms.join(structures.select("structure_id"), "structure_id", "left_semi")
+        structures, atoms = lineitem_structures(spark, sf_dir, EDGE, periodic)
         operator = make() if callable(make) else make
         operator.check(structures)
         return rounded(operator.plan(structures, atoms))
@@ -101,11 +100,11 @@ QUERIES = {
     "neighbor_list_half": _query(NeighborList(CUTOFF, full_neighbor_list=False, self_pairs=True)),
     "sorted_distances": _query(SortedDistances(SPECIES, CUTOFF, 4)),
     "sorted_distances_all": _query(SortedDistances(SPECIES, CUTOFF, 4, separate_neighbor_types=False)),
-    "coulomb_matrix": _query(CoulombMatrix(16, "none")),
-    "coulomb_matrix_sorted": _query(CoulombMatrix(16)),
-    "sine_matrix": _query(SineMatrix(16, "none"), periodic=True),
-    "sine_matrix_spectrum": _query(SineMatrix(16, "eigenspectrum"), periodic=True),
-    "ewald_sum_matrix": _query(EwaldSumMatrix(16, "none"), periodic=True),
+    "coulomb_matrix": _query(CoulombMatrix(ROOM, "none")),
+    "coulomb_matrix_sorted": _query(CoulombMatrix(ROOM)),
+    "sine_matrix": _query(SineMatrix(ROOM, "none"), periodic=True),
+    "sine_matrix_spectrum": _query(SineMatrix(ROOM, "eigenspectrum"), periodic=True),
+    "ewald_sum_matrix": _query(EwaldSumMatrix(ROOM, "none"), periodic=True),
     "mtp": _query(TENSOR_MOMENTS),
     "nep_low": _query(NEURAL),
     "nep_predict": lambda spark, sf_dir: rounded(LOCAL["nep"].predict(*lineitem_structures(spark, sf_dir))),
@@ -115,14 +114,14 @@ QUERIES = {
 }
 
 _ATOMS = "atoms AS (" + LINEITEM_ATOMS.format(lineitem="lineitem") + "\n)"
-_EDGES = f"""{_ATOMS},
+_EDGES, _PERIODIC_EDGES = (f"""{_ATOMS},
 shift AS (SELECT a.s AS sx, b.s AS sy, c.s AS sz FROM (VALUES (-1), (0), (1)) a(s), (VALUES (-1), (0), (1)) b(s), (VALUES (-1), (0), (1)) c(s)),
 every AS (SELECT p.structure_id, p.atom_index AS i, q.atom_index AS j, p.z AS zi, q.z AS zj, sx, sy, sz,
           q.x + sx * {EDGE} - p.x AS dx, q.y + sy * {EDGE} - p.y AS dy, q.zc + sz * {EDGE} - p.zc AS dz
-          FROM atoms p JOIN atoms q USING (structure_id), shift WHERE (p.structure_id % 2 = 0 OR (sx = 0 AND sy = 0 AND sz = 0))),
+          FROM atoms p JOIN atoms q USING (structure_id), shift{only}),
 loops AS (SELECT *, dx * dx + dy * dy + dz * dz AS d2 FROM every WHERE dx * dx + dy * dy + dz * dz <= {CUTOFF**2}),
 edges AS (SELECT *, sqrt(d2) AS r, 0.5 * (cos(sqrt(d2) * {pi / CUTOFF!r}) + 1) AS fc, CASE zj WHEN 1 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS t
-          FROM loops WHERE NOT (i = j AND sx = 0 AND sy = 0 AND sz = 0))"""
+          FROM loops WHERE NOT (i = j AND sx = 0 AND sy = 0 AND sz = 0))""" for only in (" WHERE p.structure_id % 2 = 0 OR (sx = 0 AND sy = 0 AND sz = 0)", ""))
 _R = "round({0}, 6) + 0.0"
 
 
@@ -179,7 +178,7 @@ _TYPES = "CASE {0} WHEN 1 THEN 0 WHEN 6 THEN 1 ELSE 2 END"
 _SMOOTH = f"(1 + 2 * power({{0}} / {CUTOFF}, 3) - 3 * power({{0}} / {CUTOFF}, 2))"
 _SIDES = f"""sides AS (SELECT a.structure_id, a.i AS atom_index, {_TYPES.format('a.zi')} AS ti, a.t AS t1, b.t AS t2, a.r AS r1, b.r AS r2,
   sqrt(power(a.dx - b.dx, 2) + power(a.dy - b.dy, 2) + power(a.dz - b.dz, 2)) AS r3, {_SMOOTH.format('a.r')} * {_SMOOTH.format('b.r')} AS w
-  FROM edges a JOIN edges b ON a.structure_id = b.structure_id AND a.i = b.i AND (a.j, a.sx, a.sy, a.sz) < (b.j, b.sx, b.sy, b.sz) WHERE a.structure_id % 2 = 0)"""
+  FROM edges a JOIN edges b ON a.structure_id = b.structure_id AND a.i = b.i AND (a.j, a.sx, a.sy, a.sz) < (b.j, b.sx, b.sy, b.sz))"""
 
 
 def _upper(a: str, b: str, n: int) -> str:
@@ -197,7 +196,7 @@ def _histogram(op: MBTR, obs: str, scaled: str = "value", extra: str = "") -> st
     low = f"least({last}, greatest(0, ceil((v - {tail!r} - {op.grid_min!r} - {dx / 2!r}) / {dx!r})))::INT"
     high = f"greatest(0, least({last}, floor((v + {tail!r} - {op.grid_min!r} + {dx / 2!r}) / {dx!r})))::INT"
     factor = (1.0 if op.normalize_gaussians else op.grid_sigma * sqrt(2 * pi)) / dx / 2
-    return f"""WITH {_EDGES}, {_SIDES}, obs AS ({obs}),
+    return f"""WITH {_PERIODIC_EDGES}, {_SIDES}, obs AS ({obs}),
 spread AS (SELECT {keys}, channel, v, w, unnest(range({low}, {high} + 1)) AS bin FROM obs WHERE w <> 0 AND v BETWEEN {op.grid_min - tail!r} AND {op.grid_max + tail!r}),
 ends AS (SELECT {keys}, channel, bin, w, ({op.grid_min - dx / 2!r}::DOUBLE + bin * {dx!r} - v) / {root!r}::DOUBLE AS a FROM spread),
 both_ends AS (SELECT *, a + {dx / root!r}::DOUBLE AS b FROM ends),
@@ -211,14 +210,14 @@ _N = "(SELECT n FROM counts c WHERE c.structure_id = h.structure_id)"
 _PA, _PB = (f"(SELECT {c} + 1 FROM pair WHERE p = channel % 6)" for c in ("pa", "pb"))
 _VO_PAIR = f"value * {EDGE**3!r} / ({4 * pi!r} * {_N}[{_PA}] * {_N}[{_PB}] * CASE WHEN {_PA} = {_PB} THEN 0.5 ELSE 1 END)"
 _VO_ANGLE = f"value * {EDGE**3!r} / ({_N}[{_PA}] * {_N}[{_PB}] * {_N}[channel // 6 + 1])"
-_PAIRED = f"SELECT structure_id, {_upper(_TYPES.format('zi'), 't', 3)} AS channel, r AS v, {{0}} * CASE WHEN {_FAR} THEN 0.5 ELSE 1 END AS w FROM edges WHERE structure_id % 2 = 0 AND r > 1e-12 AND ({_FAR} OR j > i)"
+_PAIRED = f"SELECT structure_id, {_upper(_TYPES.format('zi'), 't', 3)} AS channel, r AS v, {{0}} * CASE WHEN {_FAR} THEN 0.5 ELSE 1 END AS w FROM edges WHERE r > 1e-12 AND ({_FAR} OR j > i)"
 _ANGLES = f"SELECT structure_id, ti * 6 + {_upper('t1', 't2', 3)} AS channel, degrees(acos({_cosine('r1', 'r2', 'r3')})) AS v, w FROM sides"
 _LOCAL_ANGLES = " UNION ALL ".join(
     f"SELECT structure_id, atom_index, {channel} AS channel, {_cosine(*sides)} AS v, w FROM sides"
     for channel, sides in ((_upper("(t1 + 1)", "(t2 + 1)", 4), ("r1", "r2", "r3")), ("10 + t1 * 4 + t2 + 1", ("r1", "r3", "r2")), ("10 + t2 * 4 + t1 + 1", ("r2", "r3", "r1")))
 )
 _SCREENING, _WAVES = sqrt(-log(1e-5)), f"{2 * pi / EDGE!r}"
-_EWALD = f"""WITH {_ATOMS}, k AS (SELECT structure_id, {sqrt(pi)!r} * power(count(*) / {EDGE**6!r}::DOUBLE, 1.0::DOUBLE / 6) AS alpha FROM atoms WHERE structure_id % 2 = 0 GROUP BY ALL),
+_EWALD = f"""WITH {_ATOMS}, k AS (SELECT structure_id, {sqrt(pi)!r} * power(count(*) / {EDGE**6!r}::DOUBLE, 1.0::DOUBLE / 6) AS alpha FROM atoms GROUP BY ALL),
 p AS (SELECT k.*, a.atom_index AS i, b.atom_index AS j, a.z * b.z * CASE WHEN a.atom_index = b.atom_index THEN 0.5 ELSE 1 END AS q, a.z AS zi,
       b.x - a.x AS dx, b.y - a.y AS dy, b.zc - a.zc AS dz FROM atoms a JOIN atoms b USING (structure_id) JOIN k USING (structure_id)),
 s AS (SELECT unnest(range(-3, 4)) AS s), g AS (SELECT {_WAVES} * a.s AS gx, {_WAVES} * b.s AS gy, {_WAVES} * c.s AS gz FROM s a, s b, s c WHERE a.s <> 0 OR b.s <> 0 OR c.s <> 0),
@@ -228,7 +227,7 @@ parts AS (SELECT structure_id, i, j, q * {erfc_sql('u', '')} / r AS value FROM s
   UNION ALL SELECT structure_id, i, j, q * {4 * pi / EDGE**3!r}::DOUBLE * exp(-(gx * gx + gy * gy + gz * gz) / (4 * alpha * alpha)) / (gx * gx + gy * gy + gz * gz) * cos(gx * dx + gy * dy + gz * dz)
   FROM p, g WHERE gx * gx + gy * gy + gz * gz <= power(2 * alpha * {_SCREENING!r}, 2)
   UNION ALL SELECT structure_id, i, j, -q * {pi / EDGE**3!r}::DOUBLE / (alpha * alpha) - CASE WHEN i = j THEN alpha / {sqrt(pi)!r} * zi * zi ELSE 0 END FROM p)
-SELECT structure_id, (i * 16 + j)::INT AS feature, {_R.format('sum(value)')} AS value FROM parts GROUP BY structure_id, i, j"""
+SELECT structure_id, (i * {ROOM} + j)::INT AS feature, {_R.format('sum(value)')} AS value FROM parts GROUP BY structure_id, i, j"""
 
 _DIRECTED = "dx / r AS ux, dy / r AS uy, dz / r AS uz"
 _MOMENTS = "sum(g) AS m, sum(g * ux) AS x, sum(g * uy) AS y, sum(g * uz) AS z, sum(g * ux * ux) AS xx, sum(g * uy * uy) AS yy, sum(g * uz * uz) AS zz, sum(g * ux * uy) AS xy, sum(g * ux * uz) AS xz, sum(g * uy * uz) AS yz"
@@ -265,12 +264,12 @@ ORACLE_SQL = {
     "mtp": _moment_sql(),
     "nep_low": _neural_sql(),
     "ewald_sum_matrix": _EWALD,
-    "mbtr_atomic_number": _histogram(TENSORS["mbtr_atomic_number"], f"SELECT structure_id, {_TYPES.format('z')} AS channel, z::DOUBLE AS v, 1 AS w FROM atoms WHERE structure_id % 2 = 0", "value / (SELECT count(*) FROM atoms a WHERE a.structure_id = h.structure_id)"),
+    "mbtr_atomic_number": _histogram(TENSORS["mbtr_atomic_number"], f"SELECT structure_id, {_TYPES.format('z')} AS channel, z::DOUBLE AS v, 1 AS w FROM atoms", "value / (SELECT count(*) FROM atoms a WHERE a.structure_id = h.structure_id)"),
     "mbtr_distance": _histogram(TENSORS["mbtr_distance"], _PAIRED.format("CASE WHEN exp(-2.0 * r) >= 1e-3 THEN exp(-2.0 * r) ELSE 0 END"), "value / sqrt(sum(value * value) OVER (PARTITION BY structure_id))"),
     "mbtr_angle": _histogram(TENSORS["mbtr_angle"], _ANGLES),
     "valle_oganov_distance": _histogram(TENSORS["valle_oganov_distance"], _PAIRED.format("1 / (r * r)"), _VO_PAIR, _DENSITY_OF),
     "valle_oganov_angle": _histogram(TENSORS["valle_oganov_angle"], _ANGLES, _VO_ANGLE, _DENSITY_OF),
-    "lmbtr_distance": _histogram(TENSORS["lmbtr_distance"], "SELECT structure_id, i AS atom_index, t + 1 AS channel, 1 / r AS v, 1 / (r * r) AS w FROM edges WHERE structure_id % 2 = 0 AND r > 1e-12"),
+    "lmbtr_distance": _histogram(TENSORS["lmbtr_distance"], "SELECT structure_id, i AS atom_index, t + 1 AS channel, 1 / r AS v, 1 / (r * r) AS w FROM edges WHERE r > 1e-12"),
     "lmbtr_angle": _histogram(TENSORS["lmbtr_angle"], _LOCAL_ANGLES),
     "acsf_g2": f"WITH {_EDGES} {_LONG} ({_radial(_G2)})",
     "acsf": _acsf_sql(),
@@ -281,9 +280,9 @@ ORACLE_SQL = {
     "neighbor_list_half": f"WITH {_EDGES} {_NEIGHBORS} loops WHERE j > i OR (i = j AND CASE WHEN sx <> 0 THEN sx WHEN sy <> 0 THEN sy ELSE sz END >= 0)",
     "sorted_distances": _sorted_sql("t"),
     "sorted_distances_all": _sorted_sql("0"),
-    "coulomb_matrix": f"{_PAIRS} SELECT structure_id, (i * 16 + j)::INT AS feature, {_R.format('value')} AS value FROM m",
+    "coulomb_matrix": f"{_PAIRS} SELECT structure_id, (i * {ROOM} + j)::INT AS feature, {_R.format('value')} AS value FROM m",
     "coulomb_matrix_sorted": f"""{_PAIRS}, n AS (SELECT structure_id, i, row_number() OVER (PARTITION BY structure_id ORDER BY printf('%.12e', sum(value * value))::DOUBLE DESC, i) - 1 AS k FROM m GROUP BY structure_id, i)
-SELECT m.structure_id, (a.k * 16 + b.k)::INT AS feature, {_R.format('value')} AS value FROM m JOIN n a ON m.structure_id = a.structure_id AND m.i = a.i JOIN n b ON m.structure_id = b.structure_id AND m.j = b.i""",
-    "sine_matrix": f"""{_PAIRS}, s AS (SELECT *, {EDGE} * sqrt(power(sin({pi!r} * dx / {EDGE}), 4) + power(sin({pi!r} * dy / {EDGE}), 4) + power(sin({pi!r} * dz / {EDGE}), 4)) AS r FROM p WHERE structure_id % 2 = 0)
-SELECT structure_id, (i * 16 + j)::INT AS feature, {_R.format('CASE WHEN i = j THEN 0.5 * power(zi, 2.4) WHEN r > 1e-14 THEN zi * zj / r ELSE 0 END')} AS value FROM s""",
+SELECT m.structure_id, (a.k * {ROOM} + b.k)::INT AS feature, {_R.format('value')} AS value FROM m JOIN n a ON m.structure_id = a.structure_id AND m.i = a.i JOIN n b ON m.structure_id = b.structure_id AND m.j = b.i""",
+    "sine_matrix": f"""{_PAIRS}, s AS (SELECT *, {EDGE} * sqrt(power(sin({pi!r} * dx / {EDGE}), 4) + power(sin({pi!r} * dy / {EDGE}), 4) + power(sin({pi!r} * dz / {EDGE}), 4)) AS r FROM p)
+SELECT structure_id, (i * {ROOM} + j)::INT AS feature, {_R.format('CASE WHEN i = j THEN 0.5 * power(zi, 2.4) WHEN r > 1e-14 THEN zi * zj / r ELSE 0 END')} AS value FROM s""",
 }

@@ -50,7 +50,7 @@ def unpack(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     return structures, atoms.select("structure_id", "atom_index", F.col("a.numbers").alias("z"), place(0, "x"), place(1, "y"), place(2, "zc"))
 
 
-#: The driver's lineitem table as structures: one per order, periodic where the order key is even.
+#: The driver's lineitem table as structures: one per order.
 LINEITEM_ATOMS = """
 SELECT l_orderkey AS structure_id,
        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS INT) AS atom_index,
@@ -59,10 +59,11 @@ SELECT l_orderkey AS structure_id,
 FROM {lineitem}"""
 
 
-def lineitem_structures(spark: SparkSession, sf_dir: str, edge: float = 12.0) -> tuple[DataFrame, DataFrame]:
+def lineitem_structures(spark: SparkSession, sf_dir: str, edge: float = 12.0, periodic: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """periodic: of every order alike; where it is not given, orders of even key are."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     atoms = spark.sql(LINEITEM_ATOMS.format(lineitem="{lines}"), lines=lines)
     cell = F.array(*[F.lit(edge if i % 4 == 0 else 0.0) for i in range(9)])
     key = F.col("l_orderkey")
-    structures = lines.select("l_orderkey").distinct().select(key.alias("structure_id"), key.cast("string").alias("id"), cell.alias("cell"), (key % 2 == 0).alias("periodic"))
+    structures = lines.select("l_orderkey").distinct().select(key.alias("structure_id"), key.cast("string").alias("id"), cell.alias("cell"), (key % 2 == 0 if periodic is None else F.lit(periodic)).alias("periodic"))
     return structures, atoms

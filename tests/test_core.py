@@ -7,12 +7,12 @@ import duckdb
 import numpy as np
 import pytest
 
-from latticeweave.errors import InputError, UnsupportedPeriodicityError
+from latticeweave.errors import ConfigurationError, InputError, UnsupportedPeriodicityError
 from latticeweave.functions.special import erf_sql, erfc_sql
-from latticeweave.operators.pairs import AtomicComposition, CoulombMatrix, NeighborList, SineMatrix, SortedDistances
+from latticeweave.operators.pairs import AtomicComposition, CoulombMatrix, EwaldSumMatrix, NeighborList, SineMatrix, SortedDistances
 from latticeweave.operators.symmetry import ACSF, EAD
-from latticeweave.plans.edges import neighbor_edges
-from latticeweave.plans.queries import ORACLE_SQL, QUERIES
+from latticeweave.plans.edges import large_structures, neighbor_edges
+from latticeweave.plans.queries import ORACLE_SQL, QUERIES, ROOM
 from latticeweave.sources.structures import from_frames
 
 SF = "/root/testdata/sf0.001"
@@ -55,7 +55,7 @@ def brute_edges(frame, cutoff):
 @pytest.mark.parametrize("cubes", [False, True])
 def test_periodic_edges_equal_brute_force(spark, cubes):
     structures, atoms = from_frames(spark, FRAMES)
-    found = neighbor_edges(structures, atoms, 4.1, cubes=cubes).toPandas()
+    found = neighbor_edges(structures, atoms, 4.1, cubes=cubes, large=0).toPandas()
     ids = [r.structure_id for r in structures.orderBy("id").collect()]
     for sid, frame in zip(ids, FRAMES, strict=True):
         own = found[found.structure_id == sid]
@@ -132,3 +132,41 @@ def test_sparse_and_single_precision(spark):
         assert list(zip(row.positions, row["values"])) == want
     single = as_float32(operator.compute(*tables))
     assert dict(single.dtypes)["features"] == "array<float>" and dict(as_float32(operator.sparse(*tables)).dtypes)["values"] == "array<float>"
+
+
+def test_large_structures_meet_on_cubes(spark):
+    rng = np.random.default_rng(8)
+    skewed = [[14.0, 0, 0], [3.0, 13.0, 0], [1.0, -2.0, 12.0]]
+    frames = [
+        {"numbers": [6] * 700, "positions": rng.uniform(-20, 30, (700, 3)), "cell": skewed, "pbc": True},
+        {"numbers": [1] * 600, "positions": rng.uniform(0, 12, (600, 3))},
+        {"numbers": [8] * 5, "positions": rng.uniform(0, 3, (5, 3)), "cell": [[2.0, 0, 0], [0.3, 2.5, 0], [0, 0, 3.0]], "pbc": True},
+    ]
+    structures, atoms = from_frames(spark, frames)
+    rows = lambda cubes: sorted(map(tuple, neighbor_edges(structures, atoms, 2.2, cubes=cubes).select("structure_id", "i", "j", "sx", "sy", "sz").collect()))
+    assert large_structures(atoms)
+    plain = rows(False)
+    assert rows(None) == plain and len(set(plain)) == len(plain)
+
+
+def test_a_large_frame_takes_linear_work(spark):
+    rng = np.random.default_rng(9)
+    n, edge, reach = 20_000, 60.0, 2.0
+    at = rng.uniform(0, edge, (n, 3))
+    structures, atoms = from_frames(spark, [{"numbers": [6] * n, "positions": at, "cell": np.eye(3) * edge, "pbc": True}])
+    found = neighbor_edges(structures, atoms, reach)
+    count = found.count()
+    assert abs(count / n - (n - 1) / edge**3 * 4 / 3 * np.pi * reach**3) < 0.3
+    for row in found.where("i < 3").groupBy("i").count().collect():
+        d = at - at[row.i]
+        d -= edge * np.round(d / edge)
+        assert row["count"] == ((d**2).sum(1) <= reach**2).sum() - 1
+
+
+def test_matrices_hold_the_largest_order_of_every_scale(spark):
+    for sf in ("0.001", "0.01", "0.1"):
+        lines = spark.read.parquet(f"/root/testdata/sf{sf}/lineitem.parquet")
+        assert lines.groupBy("l_orderkey").count().agg({"count": "max"}).first()[0] <= ROOM
+    assert QUERIES["coulomb_matrix"](spark, "/root/testdata/sf0.001").count() > 0
+    with pytest.raises(ConfigurationError):
+        EwaldSumMatrix(w=0.0)
