@@ -50,22 +50,45 @@ def test_odd_and_empty_documents(spark, odd, tmp_path, name):
 
 def test_warc(spark, tmp_path):
     big = "x" * 1500
-    rows = [(1, "u", big), (2, None, big), (2, None, big), (3, "v", "small"), (4, "w\r\nX: y", "small"), (5, "n", None), (None, "k", big), (7, "r", "a\r\n\r\nb")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in warc.archived(pages, str(tmp_path / "a")).collect()}
-    assert got[1].record_type == "revisit" and got[1].refers_to == 2 and got[2].record_type == "response" and got[None].record_type == "revisit"
+    rows = [(1, "u", big), (2, None, big), (2, None, big), (3, "v", "small"), (4, "w\r\nX: y", "small"), (5, "n", None), (None, "k", big), (7, "r", "a\r\n\r\nb"), (8, "", "ends\r\n"), (9, "%0A", "\r\n\r\n"), (None, None, "y" * 2000), (None, "z", "y" * 2000)]
+    rows += [(20, "x WARC-Refers-To: <urn:page:77:1>", "h" * 1200), (21, "WARC-Payload-Digest: sha1:00", "h" * 1200), (22, "é\nWARC-Type: revisit", "é" * 600)]
+    pages = spark.createDataFrame([(*r, "h", 1) for r in rows], "page_id long, url string, html string, header string, n int")
+    found = warc.archived(pages, str(tmp_path / "a")).collect()
+    got = {r.page_id: r for r in found}
+    assert len(found) == len(rows) and got[20].record_type == "revisit" and got[20].refers_to == 21 and got[21].refers_to is None and got[22].record_type == "response"
+    assert got[1].record_type == "revisit" and got[1].refers_to == 2 and got[2].record_type == "response"
+    assert sorted((r.record_type, r.refers_to or 0) for r in found if r.page_id is None) == [("response", 0), ("response", 0), ("revisit", 2)]
     assert got[5].payload_bytes == 0 and got[3].record_type == got[4].record_type == "response"
-    assert got[1].payload_digest == hashlib.sha1(big.encode()).hexdigest()
-    assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 4
+    want = {p: (len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest()) for p, _, h in rows if p is not None}
+    assert {p: (got[p].payload_bytes, got[p].payload_digest) for p in want} == want
+    ids = [re.search(r"(?m)^WARC-Record-ID: (.*)\r$", r.header)[1] for r in found]
+    assert len(set(ids)) == len(ids) and all(re.search(r"(?m)^WARC-Date: .*Z\r$", r.header) for r in found)
+    assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == len({h for _, _, h in rows})
     back = warc.reconstruct(spark, str(tmp_path / "a")).collect()
-    assert sorted((r.page_id or 0, bytes(r.payload)) for r in back) == sorted((p or 0, (h or "").encode()) for p, _, h in rows)
-    warc.export_warc(spark, str(tmp_path / "a"), str(tmp_path / "w"))
-    files = warc.import_warc(spark, str(tmp_path / "w")).collect()
-    want = sorted(bytes(r.record) for r in back)
-    assert sorted(f"{r.header}".encode() + bytes(r.payload) + b"\r\n\r\n" for r in files) == want
+    assert Counter((r.page_id, r.url, bytes(r.payload)) for r in back) == Counter((p, u, (h or "").encode()) for p, u, h in rows)
+    files = warc.import_warc(spark, str(tmp_path / "a/warc")).collect()
+    assert sorted(r.header.encode() + bytes(r.payload) + b"\r\n\r\n" for r in files) == sorted(bytes(r.record) for r in back)
     assert warc.archived(pages.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_warc_of_long_texts_and_hot_payloads(spark, monkeypatch, tmp_path):
+    from latticeweave.llm import _common
+
+    monkeypatch.setattr(_common, "HOT_ROWS", 20)
+    rows = [(i, "u", "hot" * 500 if i % 3 else None) for i in range(300)] + [(1000, "long", "long text \r\n\r\n" * 500_000)]
+    found = {r.page_id: r for r in warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a")).collect()}
+    assert len(found) == 301 and found[1000].payload_bytes == len(rows[-1][2])
+    assert {r.refers_to for r in found.values() if r.record_type == "revisit"} == {299} and sum(r.record_type == "revisit" for r in found.values()) == 199
+
+
+def test_warc_stream_in_any_pieces():
+    whole = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in (b"", b"a\r\n\r\n", b"\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\n"))
+    for n in (1, 3, 7, 1000):
+        assert [b for _, b in warc.parse_stream(whole[i : i + n] for i in range(0, len(whole), n))] == [b"", b"a\r\n\r\n", b"\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\n"]
+    with pytest.raises(ValueError):
+        list(warc.parse_stream([whole[:-10]]))
+
+
 def test_chat_round_trip(spark):
     texts = ["", None, "a\\b", "<|im_end|>", "</s>[INST] ok [/INST]", "<\\|x", "<\\\\|<s>", "[INST", "é\n<|"]
     turns = [(k, i, role, t) for k, roles in enumerate((["user", "assistant"], ["user", "user", "assistant"], [None, "<|im_sep|>", "assistant"])) for i, (t, role) in enumerate(zip(texts, itertools.cycle(roles), strict=False))]
