@@ -104,6 +104,18 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(size)::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id""",
+    "op7_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':7') AS h FROM documents),
+     s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+     w AS (SELECT *, (1 + k % 3)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+     l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+           FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+     t AS (SELECT *, least(coalesce((SELECT first(level ORDER BY cap / weight, source NULLS LAST) FROM l WHERE level * weight <= cap) * weight, cap), cap) AS target,
+                  ('0x' || substr(md5(coalesce('+' || source, '') || ':7'), 1, 10))::BIGINT::DOUBLE / 1099511627776::DOUBLE AS u FROM l),
+     r AS (SELECT d.*, t.source_size, target, u, CASE WHEN t.source_size > 0 THEN least(target / t.source_size, 3.0::DOUBLE) ELSE 0 END AS rate,
+                  row_number() OVER (PARTITION BY d.source ORDER BY size, h) AS place FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN least(floor(place * rate + u) - floor((place - 1) * rate + u), 3) ELSE 0 END)::BIGINT * size AS taken FROM r""",
     "op10_decontam": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
      i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
