@@ -7,8 +7,8 @@ states emit buckets, and a bucket emits its tokens by absolute discounting, with
 
 so the states' tables have a fixed size, and the part that grows with the vocabulary is a sum over tokens. The
 likelihood is exact: a text is cut into segments, each segment's matrix product is taken, and products are chained,
-scaled as they go. In training, windows of 64 tokens are chains of their own; all windows of all training texts count,
-and each task's expected counts are added up by Spark.
+scaled as they go. Training is exact in the same way: messages reach each segment through the products of the segments
+before and behind it. All training texts count whole, and each task's expected counts are added up by Spark.
 
 Token counts are exact for every token. The most frequent ``hot_tokens`` are broadcast (a stated bound); all others
 meet their counts in a join on the token, so nothing that grows with the vocabulary reaches the driver or a worker.
@@ -84,19 +84,68 @@ def _windows(buckets: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndar
     return ids, real, rows
 
 
+def _products(by_bucket: np.ndarray, move: np.ndarray, ids: np.ndarray, real: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ids the scaled matrix product of its steps (a text's first token has no move before it), and the
+    logarithms of the scales."""
+    k, width = len(move), ids.shape[1]
+    product = np.broadcast_to(np.eye(k, dtype=move.dtype), (len(ids), k, k)).copy()
+    logs = np.zeros(len(ids))
+    for t in range(width):
+        live = real[:, t]
+        if not live.any():
+            break
+        moved = (product.reshape(-1, k) @ move).reshape(-1, k, k)
+        if t == 0:
+            moved[opening] = product[opening]
+        moved *= by_bucket[ids[:, t]][:, None, :]
+        product = moved if live.all() else np.where(live[:, None, None], moved, product)
+        if t % 8 == 7 or t == width - 1:
+            peak = product.max(axis=(1, 2))
+            product /= peak[:, None, None]
+            logs += np.log(peak)
+    peak = product.max(axis=(1, 2))
+    return product / peak[:, None, None], logs + np.log(peak)
+
+
+def _steps(rows: np.ndarray) -> list[np.ndarray]:
+    """For each step, the texts that have so many rows."""
+    order = np.argsort(-rows, kind="stable")
+    return [order[: int(np.searchsorted(-rows[order], -step, "left"))] for step in range(int(rows.max(initial=0)))]
+
+
 def expected_counts(model: dict[str, np.ndarray], buckets: list[np.ndarray], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch: expected starts, moves and emissions over windows, and their log-likelihood."""
-    single = np.float32  # chains are short and scaled at each step; sums over them are kept in double
+    """Baum-Welch over whole texts: expected starts, moves and emissions, and the log-likelihood.
+
+    Texts are cut into rows of `width` that are worked on at once: forward and backward messages reach every row through
+    the products of the rows before and behind it."""
+    single = np.float32  # rows are short and scaled at each step; sums over them are kept in double
     start, move = model["start"].astype(single), model["move"].astype(single)
     k, size = model["emit"].shape
-    ids, real, _ = _windows(buckets, width)
+    ids, real, rows = _windows(buckets, width)
     n = len(ids)
     share = model["emit"].mean(axis=0)  # emissions relative to their mean stay near one
     by_bucket = np.ascontiguousarray((model["emit"] / share).T.astype(single))
+    first = np.cumsum(rows) - rows
+    opening = np.zeros(n, bool)
+    opening[first] = True
+    before, behind = np.zeros((n, k), single), np.ones((n, k), single)
+    before[first] = start
+    if n > len(buckets):
+        product, _ = _products(by_bucket, move, ids, real, opening)
+        steps = _steps(rows)
+        for step in range(1, len(steps)):
+            at = first[steps[step]] + step
+            ahead = np.einsum("nk,nkj->nj", before[at - 1], product[at - 1])
+            before[at] = ahead / ahead.sum(axis=1, keepdims=True)
+        for step in range(len(steps) - 1, 0, -1):
+            at = first[steps[step]] + step
+            back = np.einsum("nkj,nj->nk", product[at], behind[at])
+            behind[at - 1] = back / back.max(axis=1, keepdims=True)
     seen = np.where(real.T[:, :, None], by_bucket[ids.T], single(1))  # width, n, k
     forward = np.empty((width, n, k), single)
     scale = np.ones((width, n), single)
-    now = start * seen[0]
+    entered = np.where(opening[:, None], before, before @ move)
+    now = entered * seen[0]
     for t in range(width):
         if t:
             now = np.where(real[:, t, None], (now @ move) * seen[t], now)
@@ -105,19 +154,22 @@ def expected_counts(model: dict[str, np.ndarray], buckets: list[np.ndarray], wid
         forward[t] = now
     moves = np.zeros((k, k))
     gamma = np.empty((width, n, k), single)
-    back = np.ones((n, k), single)
+    # Scaled so that a row's forward and backward messages sum to one at every step.
+    back = behind / (now * behind).sum(axis=1, keepdims=True)
     for t in range(width - 1, -1, -1):
-        own = forward[t] * back
-        gamma[t] = own / own.sum(axis=1, keepdims=True)
+        gamma[t] = forward[t] * back
+        ahead = np.where(real[:, t, None], seen[t] * back / scale[t][:, None], single(0))
         if t:
-            ahead = np.where(real[:, t, None], seen[t] * back / scale[t][:, None], single(0))
             moves += move * (forward[t - 1].T @ ahead)
             back = np.where(real[:, t, None], ahead @ move.T, back)
+        else:  # the move over a row's edge
+            inner = ~opening
+            moves += move * (before[inner].T @ ahead[inner])
     flat = ids.T.ravel()
     weight = gamma * real.T[:, :, None]
     emits = np.stack([np.bincount(flat, weight[:, :, s].ravel(), size) for s in range(k)])
     fit = np.log(scale, dtype=np.float64).sum() + np.log(share[ids[real]]).sum()
-    return gamma[0].sum(axis=0, dtype=np.float64), moves, emits, float(fit)
+    return gamma[0][opening].sum(axis=0, dtype=np.float64), moves, emits, float(fit)
 
 
 def _expect(model):
@@ -135,11 +187,10 @@ def _expect(model):
         for batch in batches:
             for raw in batch["buckets"]:
                 ids = np.frombuffer(raw, "<u2")
-                for at in range(0, len(ids), WINDOW * 1024):
-                    held.append(ids[at : at + WINDOW * 1024])
-                    size += len(held[-1])
-                    if size >= 1 << 17:
-                        add()
+                held.append(ids)
+                size += len(ids)
+                if size >= 1 << 17:
+                    add()
         if held:
             add()
         if total is not None:
@@ -174,34 +225,13 @@ def log_likelihoods(model: dict[str, np.ndarray], buckets: list[np.ndarray], wid
     start, move, emit = model["start"], model["move"], model["emit"]
     k = len(start)
     ids, real, rows = _windows(buckets, width)
-    by_bucket = np.ascontiguousarray(emit.T)
     first = np.cumsum(rows) - rows
     opening = np.zeros(len(ids), bool)
     opening[first] = True
-    product = np.broadcast_to(np.eye(k), (len(ids), k, k)).copy()
-    logs = np.zeros(len(ids))
-    for t in range(width):
-        live = real[:, t]
-        if not live.all():  # texts end inside their last segment
-            if not live.any():
-                break
-        moved = (product.reshape(-1, k) @ move).reshape(-1, k, k)
-        if t == 0:  # a text's first token has no move before it
-            moved[opening] = product[opening]
-        moved *= by_bucket[ids[:, t]][:, None, :]
-        product = moved if live.all() else np.where(live[:, None, None], moved, product)
-        if t % 8 == 7 or t == width - 1:
-            peak = product.max(axis=(1, 2))
-            product /= peak[:, None, None]
-            logs += np.log(peak)
+    product, logs = _products(np.ascontiguousarray(emit.T), move, ids, real, opening)
     # Chain the segments of all texts, step by step.
-    peak = product.max(axis=(1, 2))
-    product /= peak[:, None, None]
-    logs += np.log(peak)
     now = np.broadcast_to(start, (len(buckets), k)).copy()
-    order = np.argsort(-rows, kind="stable")
-    for step in range(int(rows.max())):
-        live = order[: int(np.searchsorted(-rows[order], -step, "left"))]
+    for step, live in enumerate(_steps(rows)):
         at = first[live] + step
         ahead = np.einsum("nk,nkj->nj", now[live], product[at])
         total = ahead.sum(axis=1)
