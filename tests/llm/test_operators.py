@@ -118,18 +118,24 @@ def test_lm_likelihood_is_exact_and_sums_to_one(spark, docs, tmp_path):
     np.testing.assert_allclose(lm.log_likelihoods(model, sequences), want, rtol=1e-9)
     every = [np.array(s) for s in itertools.product(range(5), repeat=3)]
     assert np.exp(lm.log_likelihoods(model, every)).sum() == pytest.approx(1)
-    # Expected counts by enumeration of all state paths.
-    s = sequences[1]
-    emits, moves = np.zeros((3, 5)), np.zeros((3, 3))
-    weights = {(i, j): model["start"][i] * model["emit"][i, s[0]] * model["move"][i, j] * model["emit"][j, s[1]] for i in range(3) for j in range(3)}
-    for (i, j), w in weights.items():
-        p = w / sum(weights.values())
-        emits[i, s[0]] += p
-        emits[j, s[1]] += p
-        moves[i, j] += p
-    got = lm.expected_counts(model, [s])
-    np.testing.assert_allclose(got[1], moves, rtol=1e-4)
-    np.testing.assert_allclose(got[2], emits, rtol=1e-4, atol=1e-7)
+    # Expected counts by enumeration of all state paths, with rows shorter than the texts.
+    starts, emits, moves = np.zeros(3), np.zeros((3, 5)), np.zeros((3, 3))
+    own = [rng.integers(0, 5, n) for n in (1, 2, 5, 7)]
+    for s in own:
+        paths = list(itertools.product(range(3), repeat=len(s)))
+        weights = np.array([model["start"][p[0]] * np.prod([model["emit"][i, x] for i, x in zip(p, s, strict=True)]) * np.prod([model["move"][i, j] for i, j in itertools.pairwise(p)]) for p in paths])
+        for p, w in zip(paths, weights / weights.sum(), strict=True):
+            starts[p[0]] += w
+            for i, x in zip(p, s, strict=True):
+                emits[i, x] += w
+            for i, j in itertools.pairwise(p):
+                moves[i, j] += w
+    for width in (2, 3, 64):
+        got = lm.expected_counts(model, own, width)
+        np.testing.assert_allclose(got[0], starts, rtol=1e-4)
+        np.testing.assert_allclose(got[1], moves, rtol=1e-4)
+        np.testing.assert_allclose(got[2], emits, rtol=1e-4, atol=1e-6)
+        assert got[3] == pytest.approx(lm.log_likelihoods(model, own).sum(), rel=1e-4)
 
 
 def test_lm_base_scores(spark, docs, tmp_path):
@@ -289,15 +295,77 @@ def test_bit_sliced_links_are_exact(monkeypatch, limit):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
     flips = [sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 5), replace=False)) for _ in range(200)]
-    values = np.unique(np.array([int(base[i % 3]) ^ f for i, f in enumerate(flips)], np.uint64)).view(np.int64)
-    a, b = simhash.link(np.zeros(len(values), np.int64), values)
-    up = {int(v): int(v) for v in values}
-    for x, y in zip(a, b, strict=True):
-        up[int(x)] = int(y)
-    want = brute_components([(i, int(v) & (1 << 64) - 1) for i, v in enumerate(values)])
-    roots = [up[int(v)] for v in values]
-    groups = lambda keys: sorted(tuple(sorted(i for i, k in enumerate(keys) if k == key)) for key in set(keys))
-    assert groups(roots) == groups([want[i] for i in range(len(values))])
+    values = np.unique(np.array([int(base[i % 3]) ^ f for i, f in enumerate(flips)], np.uint64))
+    a, b = simhash.link(np.zeros(len(values), np.int64), values[:, None])
+    up = np.arange(len(values))
+    up[a] = b
+    want = brute_components([(i, int(v)) for i, v in enumerate(values)])
+    assert groups(up) == groups([want[i] for i in range(len(values))])
+
+
+def groups(keys):
+    return sorted(tuple(np.flatnonzero(np.array(keys) == k)) for k in set(np.array(keys).tolist()))
+
+
+@pytest.mark.parametrize("radius", [3, 5, 40, 80])
+def test_wide_links_are_exact(radius):
+    rng = np.random.default_rng(radius)
+    values = []
+    for size in (1, 2, 30, 150):
+        centre = rng.integers(0, 2, 512)
+        for _ in range(size):
+            own = centre.copy()
+            own[rng.choice(512, rng.integers(0, radius + 2), replace=False)] ^= 1
+            values.append(own)
+    bits = np.array(values, np.uint8)[rng.permutation(len(values))]
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    apart = np.bitwise_count(words[:, None] ^ words[None]).sum(2)
+    for keys in (np.zeros(len(words), np.int64), np.arange(len(words)) // 50):
+        near = (apart <= radius) & (keys[:, None] == keys[None])
+        own = np.arange(len(words))
+        while True:
+            low = np.where(near, own[None], len(words)).min(1)
+            if (low == own).all():
+                break
+            own = low
+        a, b = simhash.link(keys, words, radius)
+        up = np.arange(len(words))
+        up[a] = b
+        assert groups(up) == groups(own)
+
+
+def test_hot_keys_are_cut_and_lose_no_link(spark):
+    rng = np.random.default_rng(6)
+    base = int(rng.integers(0, 1 << 62))
+    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(30, rng.integers(0, 6), replace=False)) for _ in range(400)})
+    nodes = spark.createDataFrame([(f, f) for f in fps], "node long, fp long")
+    want = brute_components([(f, f) for f in fps])
+    for hot in (40, 1 << 17):
+        found = {r.node: r.root for r in simhash.components(simhash.links(nodes, hot=hot)).collect()}
+        assert groups([found.get(f, f) for f in fps]) == groups([want[f] for f in fps])
+
+
+def test_similar_documents(spark, monkeypatch):
+    """Recall and precision against brute force on the five-word shingles of whole texts."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").coalesce(4)
+    sets = {}
+    for r in docs.collect():
+        w = (r.text or "").lower().split()
+        sets[r.doc_id] = frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    own, holders = {i: i for i in sets}, defaultdict(set)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].add(i)
+    alike = {(i, j) for h in holders.values() if len(h) < 200 for i, j in itertools.combinations(sorted(h), 2)}
+    jaccard = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in alike}
+    for hot in (1 << 17, 3):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()}
+        clear = [p for p, j in jaccard.items() if j >= 0.85]
+        assert sum(found[i] == found[j] for i, j in clear) >= 0.97 * len(clear) > 0
+        linked = {i for i, c in found.items() if i != c}
+        near = {i for p, j in jaccard.items() if j >= 0.6 for i in p} | {i for i, s in sets.items() if not s}
+        assert not linked - near
 
 
 def test_quality_counts_and_model(spark, docs):

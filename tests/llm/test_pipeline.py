@@ -19,7 +19,7 @@ def test_stages(spark):
     single = written(names["near_dedup"](spark, kept, SF))
     from latticeweave.llm import simhash
 
-    found = simhash.near_duplicates(kept).collect()
+    found = simhash.near_duplicates(kept, shingle=5, similarity=0.8).collect()
     assert {r.doc_id for r in single.collect()} == {r.component_id for r in found}
     clean = written(names["decontam"](spark, single, SF))
     bench = table(spark, SF, "benchmark").collect()
