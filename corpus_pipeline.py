@@ -21,10 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component one row stays: of the smallest id (null ids come last), and of that id's rows the first."""
+    """Texts whose five-word shingles reach a similarity of 0.8 are linked. Of each component one row stays: of the smallest id (null ids come last), and of that id's rows the first."""
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("at"))
     rows = written(docs.withColumn("_row", row))  # written, so that a row's number stays
-    stay = simhash.near_duplicates(rows, "_row").where("doc_id.at = component_id.at").select(F.col("doc_id.at").alias("at"))
+    stay = simhash.near_duplicates(rows, "_row", shingle=5, similarity=0.8).where("doc_id.at = component_id.at").select(F.col("doc_id.at").alias("at"))
     return rows.join(stay, F.col("_row.at") == F.col("at"), "left_semi").select(*docs.columns)
 
 
