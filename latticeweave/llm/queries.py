@@ -38,13 +38,13 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return digest_of_spans(found.select("doc.doc_id", "spans"))
+    return digest_of_spans(found.select("doc.doc_id", "spans", "links"))
 
 
 def digest_of_spans(found: DataFrame) -> DataFrame:
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = secrets.joined(F.filter("spans", lambda s: s["kind"] != "weak"))
-    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), secrets.joined_links(F.col("links")).alias("links"))
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,29 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(size)::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id""",
+    "op4_secrets": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+     k AS (SELECT r, kind, regexp_extract_all(text, pattern) AS ms, string_split_regex(text, pattern) AS gs, pattern FROM d, (VALUES
+       ('assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+       ('access', 'AKIA[A-Z0-9]{12,}'), ('hex', '[0-9a-f]{32,}'), ('weak', '[A-Za-z0-9+/_-]{24,}=*'),
+       ('identifier', '(?:[Cc][Ll][Ii][Ee][Nn][Tt]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Aa][Cc][Cc][Ee][Ss][Ss]|[Uu][Ss][Ee][Rr])_?(?:[Kk][Ee][Yy]_?)?[Ii][Dd]["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.@-]{4,}'),
+       ('endpoint', '(?:https?|ftp|s3|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|redis|amqps?|mongodb)://[A-Za-z0-9.-]+')) p(kind, pattern)),
+     e AS (SELECT r, kind, pattern, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM k),
+     a AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i))::INT AS z FROM e),
+     s AS (SELECT r, kind, z - length(m)::INT AS a, z, list_position(['assign', 'access', 'hex', 'weak'], kind) AS rank FROM a
+           WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, pattern, 2)) >= 8 WHEN 'weak' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') ELSE true END),
+     b AS (SELECT * FROM s WHERE rank <= 3),
+     x AS (SELECT * FROM b WHERE kind <> 'access' UNION ALL SELECT * FROM s w WHERE kind = 'weak' AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = w.r AND b.a < w.z AND w.a < b.z)),
+     p AS (SELECT r, a, z, CASE kind WHEN 'endpoint' THEN 2 ELSE 1 END AS role FROM s WHERE kind IN ('access', 'identifier', 'endpoint')),
+     j AS (SELECT x.r, x.kind, x.rank, x.a, x.z, role, first(p.a || ':' || p.z ORDER BY CASE WHEN p.z <= x.a THEN x.a - p.z ELSE p.a - x.z END, p.a, p.z) AS near
+           FROM x JOIN p ON p.r = x.r AND ((p.z <= x.a AND p.a >= x.a - 256) OR (p.a >= x.z AND p.a < x.z + 256)) GROUP BY ALL),
+     l AS (SELECT r, kind, rank, a, z, coalesce(max(near) FILTER (role = 1), '') AS one, coalesce(max(near) FILTER (role = 2), '') AS two FROM j GROUP BY ALL),
+     f AS (SELECT * FROM b UNION ALL SELECT r, kind, a, z, rank FROM l WHERE kind = 'weak'),
+     n AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                  coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (kind <> 'weak'), '') AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans FROM f GROUP BY r),
+     o AS (SELECT r, string_agg(kind || ':' || a || ':' || z || '>' || one || '>' || two, ',' ORDER BY a, rank) AS links FROM l GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(links, '') AS links
+FROM d LEFT JOIN n USING (r) LEFT JOIN o USING (r)""",
     "op7_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':7') AS h FROM documents),
