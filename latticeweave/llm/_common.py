@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-#: A key is hot if it holds more than one in HOT_SHARE of all rows, so at most HOT_SHARE keys are; tables of under
-#: HOT_ROWS * HOT_SHARE rows call a key of HOT_ROWS rows hot.
-HOT_SHARE, HOT_ROWS = 1000, 20_000
+#: A key is hot if it holds more than one in HOT_SHARE of all rows, so at most HOT_SHARE keys are; in tables of under
+#: HOT_ROWS * HOT_SHARE rows it is one of more than HOT_ROWS.
+HOT_SHARE, HOT_ROWS = 1000, 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
