@@ -20,6 +20,7 @@ from ..operators.symmetry import ACSF, EAD
 from ..operators.tensors import LMBTR, MBTR, valle_oganov
 from ..operators.turbo import SOAPTurbo
 from ..sources.structures import LINEITEM_ATOMS, lineitem_structures
+from . import local_sql
 
 SPECIES, CUTOFF, EDGE = (1, 6, 8), 3.5, 12.0
 #: Row length of the matrices: above the lines of any order at every scale.
@@ -47,7 +48,8 @@ def neural_model(radial: int = 4, angular: int = 3, basis: int = 6, l_max: int =
     return head + "\n".join(f"{v:.9e}" for v in numbers)
 
 
-#: Not expressible in SQL within reason: tests compare with quadrature and plain loops.
+#: Of these the local expansions have SQL; the others are compared with quadrature and plain loops by tests.
+EXPANDED = ("spherical_expansion", "spherical_expansion_by_pair", "soap_radial_spectrum", "soap_power_spectrum", "soap", "soap_inner", "soap_polynomial", "so3")
 LOCAL = {
     "spherical_expansion": SphericalExpansion(SPECIES, CUTOFF, 0.5, 3, 2),
     "spherical_expansion_by_pair": SphericalExpansionByPair(SPECIES, CUTOFF, 0.5, 3, 2),
@@ -85,6 +87,11 @@ def _query(make, periodic: bool | None = None):
     return run
 
 
+def _cells(operator):
+    """plan()'s rows whose rounded value isn't zero: sums that are zero but for rounding errors have no row."""
+    return lambda spark, sf_dir: rounded(operator.plan(*lineitem_structures(spark, sf_dir, EDGE))).where("value <> 0")
+
+
 def _dense(operator):
     """One row per atom, pair or structure, features as an array."""
     return lambda spark, sf_dir: operator.compute(*lineitem_structures(spark, sf_dir))
@@ -109,19 +116,27 @@ QUERIES = {
     "nep_low": _query(NEURAL),
     "nep_predict": lambda spark, sf_dir: rounded(LOCAL["nep"].predict(*lineitem_structures(spark, sf_dir))),
     "lode_spherical_expansion": _query(LodeSphericalExpansion(SPECIES, CUTOFF, 0.5, 2, 2, 1.5), periodic=True),
-    **{name: _dense(operator) for name, operator in LOCAL.items()},
+    **{name: (_cells if name in EXPANDED else _dense)(operator) for name, operator in LOCAL.items()},
     **{name: _query(operator, periodic=True) for name, operator in TENSORS.items()},
 }
 
 _ATOMS = "atoms AS (" + LINEITEM_ATOMS.format(lineitem="lineitem") + "\n)"
-_EDGES, _PERIODIC_EDGES = (f"""{_ATOMS},
+
+
+def _edge_sql(only: str = "", cutoff: float = CUTOFF) -> str:
+    """Up to edges, without the centre's own, which loops holds. only: which pairs and shifts take part."""
+    return f"""{_ATOMS},
 shift AS (SELECT a.s AS sx, b.s AS sy, c.s AS sz FROM (VALUES (-1), (0), (1)) a(s), (VALUES (-1), (0), (1)) b(s), (VALUES (-1), (0), (1)) c(s)),
 every AS (SELECT p.structure_id, p.atom_index AS i, q.atom_index AS j, p.z AS zi, q.z AS zj, sx, sy, sz,
           q.x + sx * {EDGE} - p.x AS dx, q.y + sy * {EDGE} - p.y AS dy, q.zc + sz * {EDGE} - p.zc AS dz
           FROM atoms p JOIN atoms q USING (structure_id), shift{only}),
-loops AS (SELECT *, dx * dx + dy * dy + dz * dz AS d2 FROM every WHERE dx * dx + dy * dy + dz * dz <= {CUTOFF**2}),
-edges AS (SELECT *, sqrt(d2) AS r, 0.5 * (cos(sqrt(d2) * {pi / CUTOFF!r}) + 1) AS fc, CASE zj WHEN 1 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS t
-          FROM loops WHERE NOT (i = j AND sx = 0 AND sy = 0 AND sz = 0))""" for only in (" WHERE p.structure_id % 2 = 0 OR (sx = 0 AND sy = 0 AND sz = 0)", ""))
+loops AS (SELECT *, dx * dx + dy * dy + dz * dz AS d2 FROM every WHERE dx * dx + dy * dy + dz * dz <= {cutoff**2}),
+edges AS (SELECT *, sqrt(d2) AS r, 0.5 * (cos(sqrt(d2) * {pi / cutoff!r}) + 1) AS fc, CASE zj WHEN 1 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS t
+          FROM loops WHERE NOT (i = j AND sx = 0 AND sy = 0 AND sz = 0))"""
+
+
+_MIXED = " WHERE p.structure_id % 2 = 0 OR (sx = 0 AND sy = 0 AND sz = 0)"
+_EDGES, _PERIODIC_EDGES = _edge_sql(_MIXED), _edge_sql()
 _R = "round({0}, 6) + 0.0"
 
 
@@ -286,3 +301,8 @@ SELECT m.structure_id, (a.k * {ROOM} + b.k)::INT AS feature, {_R.format('value')
     "sine_matrix": f"""{_PAIRS}, s AS (SELECT *, {EDGE} * sqrt(power(sin({pi!r} * dx / {EDGE}), 4) + power(sin({pi!r} * dy / {EDGE}), 4) + power(sin({pi!r} * dz / {EDGE}), 4)) AS r FROM p)
 SELECT structure_id, (i * {ROOM} + j)::INT AS feature, {_R.format('CASE WHEN i = j THEN 0.5 * power(zi, 2.4) WHEN r > 1e-14 THEN zi * zj / r ELSE 0 END')} AS value FROM s""",
 }
+ORACLE_SQL |= {
+    **{k: v for k, v in local_sql.expansions(f"WITH {_EDGES}", _TYPES, CUTOFF, 0.5, 3, 2).items()},
+    **local_sql.overlaps(lambda cutoff: f"WITH {_edge_sql(_MIXED, cutoff)}", _TYPES, CUTOFF, 3, 2, 0.5),
+    "so3": local_sql.rotational(f"WITH {_EDGES}", CUTOFF, 2, 2, 2.0),
+}
