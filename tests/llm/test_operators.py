@@ -419,10 +419,53 @@ def test_quality_counts_and_model(spark, docs):
         dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(w), sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", t)), dup, len(marks))
         assert g.base_failed == (len(w) < 10 or 100 * len(marks) > 20 * len(w)) and not (g.base_failed and g.kept)
-    codes, _ = quality.codes_of([r.text or "" for r in docs.collect()])
-    code, n = np.unique(codes, return_counts=True)
-    table_ = 2.0 ** -quality.log_table(quality.kneser_ney(code, n)).astype(float).reshape(-1, quality.K)
-    np.testing.assert_allclose(table_[np.unique(code // quality.K)].sum(axis=1), 1, rtol=1e-5)
+
+
+def _kneser_ney_loops(texts, share_bits):
+    """Modified Kneser-Ney of each language by plain counting: a function (language, four characters) -> probability."""
+    fold = lambda t: t.translate({c: int(quality.FOLDED[c]) for c in range(128)})
+    top = Counter((lang, ("\0\0\0" + fold(t))[i : i + 4]) for lang, t in texts for i in range(len(t)))
+    least = sum(top.values()) / 2**share_bits
+    levels = [(top, top)]
+    for _ in range(3):
+        n, raw = Counter((lang, g[1:]) for lang, g in levels[0][0]), Counter()
+        for (lang, g), c in levels[0][1].items():
+            raw[lang, g[1:]] += c
+        levels.insert(0, (n, raw))
+
+    def p(lang, gram, order):
+        if order == 0:
+            return 2.0**-16
+        n, raw = levels[order - 1]
+        k = [max(1, sum(c == i and at == lang for (at, _), c in n.items())) for i in range(1, 5)]
+        y = k[0] / (k[0] + 2 * k[1])
+        d = [min(max(i + 1 - (i + 2) * y * k[i + 1] / k[i], 0.05), i + 0.95) for i in range(3)]
+        g = gram[-order:]
+        total = sum(c for (at, h), c in n.items() if at == lang and h[:-1] == g[:-1])
+        share = {h: (c - d[min(c, 3) - 1]) / total for (at, h), c in n.items() if at == lang and h[:-1] == g[:-1] and raw[at, h] > least}
+        return share.get(g, 0) + (1 - sum(share.values())) * p(lang, gram, order - 1)
+
+    return lambda lang, gram: p(lang, fold(gram), 4)
+
+
+@pytest.mark.parametrize("share_bits", [20, 6])
+def test_quality_model_equals_loops(spark, share_bits):
+    texts = [("en", "the cat sat on the mat, the CAT 42!"), ("en", "a cat and the hat\n\nthe"), ("ru", "мама мыла раму мама"), ("ru", "ab \U0001f600 мыла"), (None, "xyz xyz")]
+    frame = spark.createDataFrame([*texts, ("en", ""), ("en", None)], "lang string, text string")
+    model = quality.train(frame, share_bits=share_bits)
+    assert all(len(part["grams"][0]) <= 2**share_bits for part in model)
+    ids = {r.lang: r.id for r in frame.select("lang", quality.lang_id("lang").alias("id")).distinct().collect()}
+    # Above U+FFFF a character shares a symbol with one below, which the loops take in its place.
+    folded = lambda t: "".join(c if ord(c) < 1 << 16 else chr((ord(c) ^ (ord(c) >> 16) * 40503) & 0xFFFF) for c in t)
+    want = _kneser_ney_loops([(lang, folded(t)) for lang, t in texts], share_bits)
+    for lang, text in [*texts, ("en", "мыла the zzz"), ("xx", "the cat")]:
+        lang_id = ids.get(lang, 12345)
+        (codes, _, _), = quality.blocks([text])
+        padded = "\0\0\0" + folded(text)
+        np.testing.assert_allclose(quality.probability(model, lang_id, codes), [want(lang, padded[i : i + 4]) for i in range(len(text))], rtol=1e-9)
+        np.testing.assert_allclose(quality.bits_per_char(["", text], lang_id, model), [0, np.mean([-np.log2(want(lang, padded[i : i + 4])) for i in range(len(text))])], rtol=1e-9)
+    whole = [code for code, _, _ in quality.blocks([texts[0][1], "", texts[1][1]])]
+    assert np.array_equal(np.concatenate([c for c, _, _ in quality.blocks([texts[0][1], "", texts[1][1]], size=5)]), np.concatenate(whole))
 
 
 def test_quality_bands_reject_labelled_junk(spark):
