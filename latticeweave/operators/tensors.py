@@ -248,3 +248,31 @@ def valle_oganov(species: tuple[int, ...], function: str = "distance", n: int =
     angle = function == "angle"
     preset = {"geometry": function, "grid_max": 180.0 if angle else r_cut, "grid_n": n, "grid_sigma": sigma, "weighting": "smooth_cutoff" if angle else "inverse_square", "r_cut": r_cut, "normalization": "valle_oganov"}
     return MBTR(species, **(preset | changes))
+
+
+@dataclass(frozen=True)
+class ValleOganov(Operator):
+    """The structural fingerprint under its own name: valle_oganov's tensor of n grid points."""
+
+    species: tuple[int, ...]
+    function: str = "distance"
+    n: int = 50
+    sigma: float = 0.1
+    r_cut: float = 6.0
+    normalize_gaussians: bool = True
+    normalization: str = "valle_oganov"
+
+    level = "structure"
+    periodic_only = True
+
+    def __post_init__(self) -> None:
+        require(self.n >= 2, "n is at least 2", "n")
+        require(self.sigma > 0, "sigma is positive", "sigma")
+        require(self.r_cut > 0, "r_cut is positive", "r_cut")
+        object.__setattr__(self, "tensor", valle_oganov(self.species, self.function, self.n, self.sigma, self.r_cut, normalize_gaussians=self.normalize_gaussians, normalization=self.normalization))
+
+    def labels(self) -> list[str]:
+        return self.tensor.labels()
+
+    def plan(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
+        return self.tensor.plan(structures, atoms)

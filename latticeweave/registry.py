@@ -12,7 +12,7 @@ OPERATORS: dict[str, type[Operator]] = {
     c.__name__: c
     for c in (
         bessel.C00PSMLFF, cluster.ACE, longrange.LodeSphericalExpansion, symmetry.ACSF, symmetry.EAD, pairs.AtomicComposition, pairs.CoulombMatrix, pairs.EwaldSumMatrix, pairs.NeighborList,
-        pairs.SineMatrix, pairs.SortedDistances, tensors.LMBTR, tensors.MBTR, local.MTP, local.SO3, local.SOAP,
+        pairs.SineMatrix, pairs.SortedDistances, tensors.LMBTR, tensors.MBTR, tensors.ValleOganov, local.MTP, local.SO3, local.SOAP,
         local.SoapPowerSpectrum, local.SoapRadialSpectrum, local.SphericalExpansion, local.SphericalExpansionByPair, neural.NEP,
         rotational.LBispectrum, rotational.SNAP, rotational.SO4, turbo.SOAPTurbo,
     )
