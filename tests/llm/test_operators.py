@@ -474,6 +474,28 @@ def test_quality_bands_reject_labelled_junk(spark):
     bad, good = (1 - got[got.quality == q].kept.mean() for q in (0, 1))
     assert bad > 0.7 and good < 0.03
     assert not got[got.doc_id.isin([2021, 827, 4314])].kept.any()  # symbol junk
+    lengths = table(spark, sf, "documents").select("doc_id", F.char_length("text").alias("chars")).toPandas()
+    brief = got.merge(lengths, "doc_id").query("quality == 1 and chars < 200")
+    assert len(brief) > 50 and brief.kept.mean() > 0.85  # short texts scatter more
+
+
+def test_quality_verdict_equals_plain_bands(spark, docs):
+    """Medians and deviations by NumPy, the verdict by a plain rule for each row; rows at a band's edge may go either way."""
+    got = queries.op9_quality(spark, SF).join(docs.select("doc_id", "lang", F.char_length("text").alias("chars")), "doc_id").toPandas()
+    checked = 0
+    for lang, rows in got.groupby("lang"):
+        bits = rows[rows.n_words >= 10].bits_per_char.round(3)
+        mid, (below, above) = np.median(bits), quality.WIDTHS.get(lang, quality.OTHER_WIDTHS)
+        deviation = 1.4826 * np.median(abs(bits - mid))
+        floor = quality.FEW_FLOOR if len(bits) < quality.FEW else quality.FLOOR
+        for r in rows[~rows.base_failed].itertuples():
+            wider = (400 / r.chars) ** 0.5 if r.chars < 400 else 1.0
+            off = r.bits_per_char - mid
+            room = wider * max(floor, deviation * (below if off < 0 else above)) - abs(off)
+            if abs(room) > 0.005 * wider:
+                assert r.kept == (room > 0), (r, room)
+                checked += 1
+    assert checked > 800
 
 
 @pytest.mark.parametrize("shard", [200, 8 << 20])
