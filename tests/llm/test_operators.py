@@ -475,14 +475,15 @@ def test_quality_bands_reject_labelled_junk(spark):
     assert bad > 0.7 and good < 0.03
     assert not got[got.doc_id.isin([2021, 827, 4314])].kept.any()  # symbol junk
     lengths = table(spark, sf, "documents").select("doc_id", F.char_length("text").alias("chars")).toPandas()
-    brief = got.merge(lengths, "doc_id").query("quality == 1 and chars < 200")
+    brief = got.merge(lengths, on="doc_id").query("quality == 1 and chars < 200")
     assert len(brief) > 50 and brief.kept.mean() > 0.85  # short texts scatter more
 
 
-def test_quality_verdict_equals_plain_bands(spark, docs):
+def test_quality_verdict_equals_plain_bands(spark):
     """Medians and deviations by NumPy, the verdict by a plain rule for each row; rows at a band's edge may go either way."""
-    got = queries.op9_quality(spark, SF).join(docs.select("doc_id", "lang", F.char_length("text").alias("chars")), "doc_id").toPandas()
-    checked = 0
+    sf, checked = "/root/testdata/sf0.01", 0
+    lengths = table(spark, sf, "documents").select("doc_id", "lang", F.char_length("text").alias("chars"))
+    got = queries.op9_quality(spark, sf).join(lengths, "doc_id").toPandas()
     for lang, rows in got.groupby("lang"):
         bits = rows[rows.n_words >= 10].bits_per_char.round(3)
         mid, (below, above) = np.median(bits), quality.WIDTHS.get(lang, quality.OTHER_WIDTHS)
