@@ -12,7 +12,7 @@ Two ways to link:
 * ``similarity``: shingle sets whose estimated Jaccard similarity reaches it. Fingerprints have 512 bits, whose expected
   difference follows from the similarity; blocks to compare come from ten keys of three minimum hashes of the same
   shingles (a pair of similarity 0.8 shares one with a probability of 0.999). A block of too many fingerprints is dealt
-  over several tasks, each of which also gets the block's first fingerprint.
+  over parts, and every two parts meet in a task of their own, so that each pair of the block is still compared.
 
 Inside a block fingerprints stand as vertical bit planes, 64 to a machine word, and are compared with themselves shifted
 by 1, 2, ... places, or with one pivot after another. Differences add up in carry-save counters that start so far below
@@ -322,8 +322,7 @@ def _long(values: np.ndarray, origin: np.ndarray, forest: Forest, radius: int) -
 
 
 def _link_batches(radius: int):
-    """Input sorted by key: (key, node, fp). A key's rows are kept together, across batches where need be; of a key that
-    is longer than HOT all the same, each further piece gets the first row again."""
+    """Input sorted by key: (key, node, fp). A key's rows are kept together, across batches where need be."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -349,10 +348,6 @@ def _link_batches(radius: int):
                 held[-1] = batch.iloc[:cut]
                 yield done(held)
                 held, size = [tail], len(tail)
-            elif size >= 2 * HOT:
-                first = held[0].iloc[:1] if held[0]["key"].iloc[0] == keys[-1] else batch.iloc[cut : cut + 1]
-                yield done(held)
-                held, size = [first], 1
         if held:
             yield done(held)
 
@@ -421,17 +416,19 @@ def _exact_keys(nodes: DataFrame, hot: int) -> DataFrame:
 
 
 def _block_keys(nodes: DataFrame, hot: int) -> DataFrame:
-    """(key, node, fp) from keys of minimum hashes; a hot key's rows are dealt over several keys, each with the first one."""
+    """(key, node, fp) from keys of minimum hashes. A hot key's rows are dealt over parts of about half of `hot` rows, and
+    each two parts get a key of their own: every pair of the block shares one, at parts - 1 copies of a row."""
     keyed = nodes.select("node", "fp", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where(F.col("n") > hot)
-    counts = written(counts.withColumn("copies", F.ceil(F.col("n") / hot).cast("int")))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    counts = written(counts.select("key", F.ceil(2 * F.col("n") / hot).cast("int").alias("parts")))
     if not counts.limit(1).count():
         return keyed.select("key", "node", "fp")
     cold = keyed.join(F.broadcast(counts.select("key")), "key", "left_anti")
-    large = keyed.join(F.broadcast(counts), "key")
-    part = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "key"), F.col("copies")).cast("int")))
-    dealt = large.withColumn("part", F.explode(part)).select(F.xxhash64("key", "part").alias("key"), "node", "fp")
-    return cold.select("key", "node", "fp").unionByName(dealt)
+    large = keyed.join(F.broadcast(counts), "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: other != F.col("part"))
+    large = large.withColumn("other", F.explode(others))
+    met = large.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", "fp")
+    return cold.select("key", "node", "fp").unionByName(met)
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, hot: int | None = None) -> DataFrame:

@@ -385,6 +385,20 @@ def test_hot_keys_are_cut_and_lose_no_link(spark):
         assert groups([found.get(f, f) for f in fps]) == groups([want[f] for f in fps])
 
 
+def test_hot_blocks_lose_no_link(spark):
+    """A block of groups of near fingerprints, by brute force: no row of a group is near the block's first one but its own."""
+    rng = np.random.default_rng(8)
+    bits = np.repeat(rng.integers(0, 2, (60, 512)), 5, axis=0)
+    for row in bits:
+        row[rng.choice(512, 12, replace=False)] ^= 1
+    words = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little")
+    assert len(np.unique(words, axis=0)) == len(words)
+    nodes = spark.createDataFrame([(i, bytearray(w.tobytes()), [7, 100 + i % 2]) for i, w in enumerate(words)], "node long, fp binary, keys array<long>")
+    for hot in (40, 1 << 17):
+        found = {r.node: r.root for r in simhash.components(simhash.links(nodes, radius=24, hot=hot)).collect()}
+        assert groups([found.get(i, i) for i in range(300)]) == groups([i // 5 for i in range(300)])
+
+
 def test_similar_documents(spark, monkeypatch):
     """Recall and precision against brute force on the five-word shingles of whole texts."""
     docs = table(spark, "/root/testdata/sf0.01", "documents").coalesce(4)
