@@ -482,6 +482,20 @@ def test_quality_model_equals_loops(spark, share_bits):
     assert np.array_equal(np.concatenate([c for c, _, _ in quality.blocks([texts[0][1], "", texts[1][1]], size=5)]), np.concatenate(whole))
 
 
+def test_quality_scores_use_all_ngrams(spark, monkeypatch):
+    """Also n-grams that are one in over a million, by broadcast or by joins, against plain counting."""
+    texts = [*[("en", "the cat sat on the mat\n")] * 50_000, *[("en", "a quick brown fox")] * 4, ("en", "the dog"), ("ru", "мама мыла раму"), (None, "the dog"), (None, "the dog")]
+    frame = spark.createDataFrame([(i, *t) for i, t in enumerate([*texts, ("en", ""), ("en", None)])], "doc_id long, lang string, text string")
+    p = _kneser_ney_loops(texts, 60)
+    want = {t: -sum(math.log2(p(t[0], ("\0\0\0" + t[1])[k : k + 4])) for k in range(len(t[1]))) / len(t[1]) for t in set(texts)}
+    for held_grams, hot_rows in ((1 << 20, 1000), (16, 1000), (1, 2)):
+        monkeypatch.setattr(quality, "HELD_GRAMS", held_grams, raising=False)
+        monkeypatch.setattr(quality, "HOT_ROWS", hot_rows, raising=False)
+        got = {r.doc_id: r.bits for r in quality.judge(frame).select("doc.doc_id", "stats.bits").collect()}
+        assert all(abs(got[i] - want[t]) < 2e-6 for i, t in enumerate(texts))
+        assert len(got) == len(texts) + 2 and got[len(texts)] == got[len(texts) + 1] == 0
+
+
 def test_quality_bands_reject_labelled_junk(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op9_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("not base_failed").toPandas()
