@@ -1,12 +1,13 @@
 """Operators that expand each atom's surroundings in radial and angular functions.
 
-Edges are gathered per centre in the JVM (a centre's neighbours within a cutoff are bounded by the density), then a
-whole Arrow batch of centres is expanded at once: no group of rows is larger than one centre's surroundings.
+Structures stream to Python whole, where their edges are found and expanded, many centres at once. Those of too many
+atoms for that have their edges gathered per centre in the JVM (a centre's neighbours within a cutoff are bounded by the
+density): no group of rows is larger than one centre's surroundings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import factorial, gamma, log, pi, sqrt
 
@@ -14,11 +15,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import smooth
 from ..plans.edges import neighbor_edges
+from ..plans.gathered import Run, batch, edges_of, kinds, lists, mapped, runs
 from .base import Operator, require, type_index
 
-#: Centres expanded at once: bounds the memory of one task.
-BLOCK = 64
+#: Centres of gathered edges that are expanded at once, and edges of streamed structures: they bound a task's memory.
+BLOCK, EDGES = 64, 2048
 KEYS = ("structure_id", "atom_index")
 
 
@@ -42,8 +45,12 @@ class Edges:
 
     def by_type(self, values: np.ndarray, types: int) -> np.ndarray:
         """(centres, types, ...)."""
-        shape = (len(self.t),) + (1,) * (values.ndim - 1)
-        return np.stack([self.total(values * (self.t == k).reshape(shape)) for k in range(types)], axis=1)
+        key = self.centres() * types + self.t
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+        out = np.zeros((len(self.zi) * types, *values.shape[1:]), values.dtype)
+        out[key[order][heads]] = np.add.reduceat(values[order], heads, axis=0)
+        return out.reshape(len(self.zi), types, *values.shape[1:])
 
     def centres(self) -> np.ndarray:
         """Index of each edge's centre."""
@@ -123,16 +130,39 @@ class _Local(Operator):
         return edges.groupBy("structure_id", F.col("i").alias("atom_index"), F.col("zi").alias("z"), "ti").agg(F.collect_list(near).alias("near"))
 
     def expanded(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
-        """structure_id, atom_index, features of the atoms that have an edge."""
+        """structure_id, atom_index, features of the atoms that have an edge, from gathered edges."""
         return self.gathered(structures, atoms).mapInArrow(_mapper(self), "structure_id long, atom_index int, features array<double>")
 
-    def plan(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
-        return self.expanded(structures, atoms).select(*KEYS, F.posexplode("features").alias("feature", "value")).where("value <> 0")
+    def plan(self, structures: DataFrame, atoms: DataFrame, least: float = 0.0) -> DataFrame:
+        """least: values up to it, with either sign, are left out like zeros."""
+        rest = lambda above: self.expanded(structures, above).select(*KEYS, F.posexplode("features").alias("feature", "value")).where(F.abs("value") > least)
+        return mapped(structures, atoms, _streamed(self, _long(least)), "structure_id long, atom_index int, feature int, value double", rest)
 
     def compute(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
         self.check(structures)
         none = F.array_repeat(F.lit(0.0), self.width)
-        return atoms.select(*KEYS).join(self.expanded(structures, atoms), list(KEYS), "left").select(*KEYS, F.coalesce("features", none).alias("features"))
+        rest = lambda above: above.select(*KEYS).join(self.expanded(structures, above), list(KEYS), "left").select(*KEYS, F.coalesce("features", none).alias("features"))
+        return mapped(structures, atoms, _streamed(self, _rows), "structure_id long, atom_index int, features array<double>", rest)
+
+    def parts(self, batches, exact_self: bool | None = None) -> Iterator[tuple[Run, np.ndarray, Edges]]:
+        """Whole structures, and a piece of their atoms that have an edge with these edges; one piece after the other."""
+        for run in runs(batches):
+            for part, pairs in edges_of(run, self.reach, exact_self=self.keeps_self if exact_self is None else exact_self):
+                near = np.concatenate([pairs.i, pairs.j])
+                t = np.zeros(len(part.z), int)
+                if self.typed:
+                    t[near] = kinds(part.z[near], self.species)
+                heads = np.flatnonzero(np.diff(pairs.i, prepend=-1))
+                ends = np.append(heads[1:], len(pairs.i))
+                first = 0
+                while first < len(heads):
+                    last = max(first + 1, int(np.searchsorted(ends, heads[first] + EDGES, "right")))
+                    own, of = pairs.i[heads[first:last]], slice(heads[first], ends[last - 1])
+                    j = pairs.j[of]
+                    yield part, own, Edges(pairs.d[of], np.sqrt(pairs.d2[of]), part.z[j], t[j], heads[first:last] - heads[first], part.z[own], t[own], pairs.own[of], j)
+                    first = last
+                if not len(heads):
+                    yield part, np.zeros(0, int), None
 
 
 def blocks(batches, named: bool = False):
@@ -161,6 +191,63 @@ def _mapper(operator: _Local):
     return run
 
 
+def _streamed(operator: _Local, shape: Callable):
+    def run(batches):
+        kernel = operator.kernel()
+        yield from shape(operator, ((part, own, None if e is None else kernel(e)) for part, own, e in operator.parts(batches)))
+
+    return run
+
+
+def cells(values: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of what is beyond least, or isn't a number; searched the way the matrix lies in memory."""
+    turned = values.flags.f_contiguous and not values.flags.c_contiguous
+    flat = (values.T if turned else values).ravel()
+    found = np.flatnonzero(~(np.abs(flat) <= least) if least else flat)
+    row, feature = np.divmod(found, values.shape[1])
+    if turned:
+        feature, row = np.divmod(found, values.shape[0])
+    return row, feature.astype(np.int32), flat[found]
+
+
+def _long(least: float):
+    def shape(operator: _Local, kernels):
+        for part, own, values in kernels:
+            if values is not None:
+                row, feature, value = cells(values, least)
+                at = own[row]
+                yield batch([*KEYS, "feature", "value"], [part.sid[at], part.index[at], feature, value])
+
+    return shape
+
+
+def _rows(operator: _Local, found):
+    """Every atom's features, those without an edge zeros, which follow the part they belong to."""
+    width, part, lone = operator.width, None, None
+
+    def zeros():
+        at = np.flatnonzero(lone)
+        for start in range(0, len(at), EDGES):
+            rest = at[start : start + EDGES]
+            yield rows(part, rest, np.zeros((len(rest), width)))
+
+    def rows(part, at, values):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(part.sid[at]), pa.array(part.index[at]), lists(values)], [*KEYS, "features"])
+
+    for here, own, values in found:
+        if here is not part:
+            if part is not None:
+                yield from zeros()
+            part, lone = here, np.ones(len(here.z), bool)
+        if values is not None:
+            lone[own] = False
+            yield rows(part, own, values)
+    if part is not None:
+        yield from zeros()
+
+
 @dataclass(frozen=True)
 class _Expansion(_Local):
     """Gaussian densities in orthonormal Gaussian-type radial functions and real harmonics, the centre included."""
@@ -207,11 +294,12 @@ class _Expansion(_Local):
             return raw @ mixing
 
         width = min(0.5, self.cutoff)
+        every = smooth(lambda r: np.concatenate([radial(r, k) for k in range(top + 1)], axis=1), self.cutoff)
 
         def basis(r: np.ndarray, d: np.ndarray) -> np.ndarray:
             fade = np.where(r <= self.cutoff - width, 1.0, 0.5 * (1 + np.cos(pi * (r - self.cutoff + width) / width))) * (r < self.cutoff)
-            y = harmonics(d, top) * fade[:, None]
-            return np.concatenate([y[:, k * k : (k + 1) ** 2, None] * radial(r, k)[:, None, :] for k in range(top + 1)], axis=1)
+            y, g = harmonics(d, top) * fade[:, None], every(np.minimum(r, self.cutoff))
+            return np.concatenate([y[:, k * k : (k + 1) ** 2, None] * g[:, None, k * size : (k + 1) * size] for k in range(top + 1)], axis=1)
 
         return basis
 
@@ -270,14 +358,15 @@ class SoapPowerSpectrum(_Expansion):
         find, types = self.coefficients(), len(self.species)
 
         def power(e: Edges) -> np.ndarray:
-            c, parts = find(e), []
+            # Centres come last, where products run over them without a gap.
+            c, parts = np.ascontiguousarray(np.moveaxis(find(e), 0, -1)), []
             for a in range(types):
                 for b in range(a, types):
                     for k in range(self.max_angular + 1):
                         of = slice(k * k, (k + 1) ** 2)
                         scale = (-1) ** k / sqrt(2 * k + 1) * (1.0 if a == b else sqrt(2))
-                        parts.append(scale * np.einsum("xmi,xmj->xij", c[:, a, of], c[:, b, of]).reshape(len(c), -1))
-            return self.placed(e, np.concatenate(parts, axis=1))
+                        parts.append(scale * np.einsum("mix,mjx->ijx", c[a, of], c[b, of]).reshape(-1, c.shape[-1]))
+            return self.placed(e, np.concatenate(parts).T)
 
         return power
 
@@ -292,6 +381,10 @@ class SphericalExpansionByPair(_Expansion):
         return self.channels()
 
     def compute(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
+        rest = lambda above: self.gathered_pairs(structures, above)
+        return mapped(structures, atoms, _streamed_pairs(self, False), f"{PAIR_KEYS}, features array<double>", rest)
+
+    def gathered_pairs(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
         keys = ["structure_id", "i", "j", "sx", "sy", "sz"]
         declared = (type_index(F.col("zi"), self.species) >= 0) & (type_index(F.col("zj"), self.species) >= 0)
         edges = neighbor_edges(structures, atoms, self.cutoff, boundary=False, exact_self=True).where(declared)
@@ -310,10 +403,35 @@ class SphericalExpansionByPair(_Expansion):
                     features = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
                     yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in keys], features], [*keys, "features"])
 
-        return edges.select(*keys, "dx", "dy", "dz").mapInArrow(run, "structure_id long, i int, j int, sx int, sy int, sz int, features array<double>")
+        return edges.select(*keys, "dx", "dy", "dz").mapInArrow(run, f"{PAIR_KEYS}, features array<double>")
+
+    def plan(self, structures: DataFrame, atoms: DataFrame, least: float = 0.0) -> DataFrame:
+        rest = lambda above: self.gathered_pairs(structures, above).select("structure_id", "i", "j", "sx", "sy", "sz", F.posexplode("features").alias("feature", "value")).where(F.abs("value") > least)
+        return mapped(structures, atoms, _streamed_pairs(self, True, least), f"{PAIR_KEYS}, feature int, value double", rest)
 
-    def plan(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
-        return self.compute(structures, atoms).select("structure_id", "i", "j", "sx", "sy", "sz", F.posexplode("features").alias("feature", "value")).where("value <> 0")
+
+PAIR_KEYS = "structure_id long, i int, j int, sx int, sy int, sz int"
+
+
+def _streamed_pairs(operator: SphericalExpansionByPair, long: bool, least: float = 0.0):
+    def run(batches):
+        import pyarrow as pa
+
+        basis, names = operator.basis(), ["structure_id", "i", "j", "sx", "sy", "sz"]
+        for whole in runs(batches):
+            for part, pairs in edges_of(whole, operator.cutoff, boundary=False, exact_self=True):
+                kinds(part.z, operator.species)
+                for start in range(0, len(pairs.i), EDGES):
+                    of = slice(start, start + EDGES)
+                    keys = [part.sid[pairs.i[of]], part.index[pairs.i[of]], part.index[pairs.j[of]], *pairs.s[of].astype(np.int32).T]
+                    values = basis(np.sqrt(pairs.d2[of]), pairs.d[of]).reshape(len(keys[0]), -1)
+                    if long:
+                        row, feature, value = cells(values, least)
+                        yield batch([*names, "feature", "value"], [*[k[row] for k in keys], feature, value])
+                    else:
+                        yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(k)) for k in keys], lists(values)], [*names, "features"])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -349,15 +467,17 @@ class SO3(_Local):
         root = inverse_root(np.sqrt(edge[:, None] * edge) / ((5.0 + pair) * (6 + pair) * (7 + pair)))
         phi = (self.rcut - q) ** (k[:, None] + 2.0) / np.sqrt(2 * self.rcut ** (2.0 * k + 7) / edge)[:, None]
         radial = root @ phi * (q * q * np.exp(-self.alpha * q * q) * np.sqrt(1 - x * x) * pi / count * self.rcut / 2)
+        scale = [sqrt(2 * sqrt(2) * pi / sqrt(2 * m + 1)) for m in range(self.lmax + 1)]
+        damped = lambda r, m: modified_bessel(2 * self.alpha * r[:, None] * q, m) @ radial.T * (np.exp(-self.alpha * r * r) * scale[m])[:, None]
+        every = smooth(lambda r: np.concatenate([damped(r, m) for m in range(self.lmax + 1)], axis=1), self.rcut)
 
         def power(e: Edges) -> np.ndarray:
             fade = np.where((e.r > 0) & (e.r < self.rcut), 0.5 * (np.cos(pi * e.r / self.rcut) + 1), 0.0)
             sign = np.where(self.weight_on & (e.z != e.zi[e.centres()]), -1.0, 1.0)
-            weight = sign * e.z * 4 * pi * np.exp(-self.alpha * e.r**2) * fade
             y, out = harmonics(e.d, self.lmax), []
+            found = every(np.minimum(e.r, self.rcut)) * (sign * e.z * 4 * pi * fade)[:, None]
             for m in range(self.lmax + 1):
-                bessel = modified_bessel(2 * self.alpha * e.r[:, None] * q, m)
-                g = bessel @ radial.T * weight[:, None] * sqrt(2 * sqrt(2) * pi / sqrt(2 * m + 1))
+                g = found[:, m * self.nmax : (m + 1) * self.nmax]
                 c = e.total(g[:, :, None] * y[:, None, m * m : (m + 1) ** 2])
                 out.append(np.einsum("xam,xbm->xab", c, c))
             a, b = np.tril_indices(self.nmax)
@@ -540,15 +660,17 @@ class SOAP(_Local):
 
     def spectrum(self, c: np.ndarray) -> np.ndarray:
         """From coefficients (rows, species, n, harmonics)."""
-        every, parts = c.sum(1), []
-        density = lambda k: every if k < 0 else c[:, k]
+        # Rows come last, where products run over them without a gap.
+        c = np.ascontiguousarray(np.moveaxis(c, 0, -1))
+        every, parts = c.sum(0), []
+        density = lambda k: every if k < 0 else c[k]
         upper = np.triu_indices(self.n_max)
         for _, a, b, half in self.blocks():
             for k in range(self.l_max + 1):
                 of = slice(k * k, (k + 1) ** 2)
-                p = pi * sqrt(8 / (2 * k + 1)) * np.einsum("xim,xjm->xij", density(a)[:, :, of], density(b)[:, :, of])
-                parts.append(p[:, upper[0], upper[1]] if half else p.reshape(len(p), -1))
-        return np.concatenate(parts, axis=1)
+                p = pi * sqrt(8 / (2 * k + 1)) * np.einsum("imx,jmx->ijx", density(a)[:, of], density(b)[:, of])
+                parts.append(p[upper] if half else p.reshape(-1, c.shape[-1]))
+        return np.concatenate(parts).T
 
     def coefficients(self) -> Callable[[Edges], np.ndarray]:
         if self.rbf == "polynomial":
@@ -565,8 +687,8 @@ class SOAP(_Local):
             for k, (decay, front, root) in enumerate(tables):
                 raw = front * np.exp(-decay * e.r[:, None] ** 2) * e.r[:, None] ** k
                 g = pi**1.5 * raw @ root.T
-                out.append(e.by_type(g[:, :, None] * y[:, None, k * k : (k + 1) ** 2], types))
-            return np.concatenate(out, axis=3)
+                out.append(g[:, :, None] * y[:, None, k * k : (k + 1) ** 2])
+            return e.by_type(np.concatenate(out, axis=2), types)
 
         return find
 
@@ -578,14 +700,18 @@ class SOAP(_Local):
         root = inverse_root(2 * self.radius ** (9.0 + pair) / ((7.0 + pair) * (8 + pair) * (9 + pair)))
         radial = root @ np.array([(self.radius - q) ** (n + 3) for n in range(self.n_max)]) * (4 * pi * w * self.radius / 2 * q * q)
 
-        def find(e: Edges) -> np.ndarray:
-            y, out = harmonics(e.d, self.l_max) * self.weights(e)[:, None], []
-            z, near, front = 2 * eta * e.r[:, None] * q, np.exp(-eta * (e.r[:, None] - q) ** 2), 1.0
+        def overlapped(r: np.ndarray) -> np.ndarray:
+            z, near, front, out = 2 * eta * r[:, None] * q, np.exp(-eta * (r[:, None] - q) ** 2), 1.0, []
             for k in range(self.l_max + 1):
                 front = front * z / (2 * k + 1) if k else front
-                bessel = scaled_kummer(k + 1.0, 2 * k + 2.0, 2 * z.ravel()).reshape(z.shape)
-                out.append(e.by_type((front * bessel * near @ radial.T)[:, :, None] * y[:, None, k * k : (k + 1) ** 2], types))
-            return np.concatenate(out, axis=3)
+                out.append(front * scaled_kummer(k + 1.0, 2 * k + 2.0, 2 * z.ravel()).reshape(z.shape) * near @ radial.T)
+            return np.concatenate(out, axis=1)
+
+        every = smooth(overlapped, self.reach)
+
+        def find(e: Edges) -> np.ndarray:
+            y, g = harmonics(e.d, self.l_max) * self.weights(e)[:, None], every(np.minimum(e.r, self.reach))
+            return e.by_type(np.concatenate([g[:, k * self.n_max : (k + 1) * self.n_max, None] * y[:, None, k * k : (k + 1) ** 2] for k in range(self.l_max + 1)], axis=2), types)
 
         return find
 
@@ -596,7 +722,12 @@ class SOAP(_Local):
         return lambda e: self.spectrum(find(e))
 
     def averaged(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
-        """structure_id, features: means over atoms, each of which has its own edge; summed element by element."""
+        """structure_id, features: means over atoms, each of which has its own edge."""
+        rest = lambda above: self.gathered_means(structures, above)
+        return mapped(structures, atoms, _streamed(self, _means(False)), "structure_id long, features array<double>", rest)
+
+    def gathered_means(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
+        """The same from gathered edges, summed element by element."""
         long = self.expanded(structures, atoms).select("structure_id", F.posexplode("features").alias("feature", "value"))
         means = long.groupBy("structure_id", "feature").agg(F.avg("value").alias("value"))
         found = means.groupBy("structure_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda p: p["value"]).alias("features"))
@@ -614,13 +745,44 @@ class SOAP(_Local):
 
         return found.mapInPandas(run, "structure_id long, features array<double>")
 
-    def plan(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
+    def plan(self, structures: DataFrame, atoms: DataFrame, least: float = 0.0) -> DataFrame:
         if self.average == "off":
-            return super().plan(structures, atoms)
-        return self.averaged(structures, atoms).select("structure_id", F.posexplode("features").alias("feature", "value")).where("value <> 0")
+            return super().plan(structures, atoms, least)
+        rest = lambda above: self.gathered_means(structures, above).select("structure_id", F.posexplode("features").alias("feature", "value")).where(F.abs("value") > least)
+        return mapped(structures, atoms, _streamed(self, _means(True, least)), "structure_id long, feature int, value double", rest)
 
     def compute(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
         if self.average == "off":
             return super().compute(structures, atoms)
         none = F.array_repeat(F.lit(0.0), self.width)
         return structures.select("structure_id").join(self.averaged(structures, atoms), "structure_id", "left").select("structure_id", F.coalesce("features", none).alias("features"))
+
+
+def _means(long: bool, least: float = 0.0):
+    """Structures' means, whose atoms are in one part; spectra of them where the average is the inner one."""
+
+    def finished(operator: SOAP, part: Run, sums: np.ndarray):
+        import pyarrow as pa
+
+        values, sid = sums / part.sizes[:, None], part.sid[part.starts]
+        if operator.average == "inner":
+            values = operator.spectrum(values.reshape(-1, len(operator.species), operator.n_max, (operator.l_max + 1) ** 2))
+        if not long:
+            return pa.RecordBatch.from_arrays([pa.array(sid), lists(values)], ["structure_id", "features"])
+        row, feature, value = cells(values, least)
+        return batch(["structure_id", "feature", "value"], [sid[row], feature, value])
+
+    def shape(operator: SOAP, found):
+        part = sums = None
+        for here, own, values in found:
+            if here is not part:
+                if part is not None:
+                    yield finished(operator, part, sums)
+                part, sums = here, np.zeros((len(here.sizes), values.shape[1]))
+            of = here.of()[own]
+            heads = np.flatnonzero(np.diff(of, prepend=-1))
+            sums[of[heads]] += np.add.reduceat(values, heads, axis=0)
+        if part is not None:
+            yield finished(operator, part, sums)
+
+    return shape

@@ -73,8 +73,21 @@ TENSOR_MOMENTS = MTP(SPECIES, max_dist=CUTOFF, radial_basis_size=2)
 NEURAL = NEP(neural_model(angular=2, basis=4, l_max=2, many_body=False))
 
 
+#: Values up to it are zero when they are rounded: a little below half of the last digit.
+NOTHING = 4.9e-7
+#: Below it a value's digits fit a double's whole numbers; beyond, and where it isn't finite, decimals are used.
+PLAIN = 1e9
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Halves away from zero, as SQL has it, without a decimal per value."""
+
+    def near(c: str):
+        v, scale = F.col(c), 10.0**digits
+        whole = F.when(v >= 0, F.floor(v * scale + 0.5)).otherwise(F.ceil(v * scale - 0.5))
+        return F.when(F.abs(v) < PLAIN, whole / F.lit(scale)).otherwise(F.round(v, digits) + 0.0)
+
+    return df.select(*[near(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _query(make, periodic: bool | None = None):
@@ -89,7 +102,7 @@ def _query(make, periodic: bool | None = None):
 
 def _cells(operator):
     """plan()'s rows whose rounded value isn't zero: sums that are zero but for rounding errors have no row."""
-    return lambda spark, sf_dir: rounded(operator.plan(*lineitem_structures(spark, sf_dir, EDGE))).where("value <> 0")
+    return lambda spark, sf_dir: rounded(operator.plan(*lineitem_structures(spark, sf_dir, EDGE), least=NOTHING)).where("value <> 0")
 
 
 def _dense(operator):

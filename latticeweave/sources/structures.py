@@ -5,7 +5,7 @@ structures(structure_id, id, cell array<double>[9] row-major, periodic), atoms(s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,11 +58,19 @@ SELECT l_orderkey AS structure_id,
        CAST(l_quantity AS DOUBLE) / 5 AS x, CAST(l_extendedprice AS DOUBLE) / 10000 AS y, CAST(l_tax AS DOUBLE) * 100 AS zc
 FROM {lineitem}"""
 
+#: What orders an order's lines.
+ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
 
 def lineitem_structures(spark: SparkSession, sf_dir: str, edge: float = 12.0, periodic: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """periodic: of every order alike; where it is not given, orders of even key are."""
+    """periodic: of every order alike; where it is not given, orders of even key are. The rows of LINEITEM_ATOMS, by a
+    window over the structures' own key, so that what follows by structure needs no second exchange."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    atoms = spark.sql(LINEITEM_ATOMS.format(lineitem="{lines}"), lines=lines)
+    number = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 6).otherwise(8)
+    keyed = lines.select(F.col("l_orderkey").alias("structure_id"), number.alias("z"), *ORDER)
+    index = F.row_number().over(Window.partitionBy("structure_id").orderBy(*ORDER)) - 1
+    place = {"x": F.col("l_quantity").cast("double") / 5, "y": F.col("l_extendedprice").cast("double") / 10000, "zc": F.col("l_tax").cast("double") * 100}
+    atoms = keyed.select("structure_id", index.cast("int").alias("atom_index"), "z", *[v.alias(k) for k, v in place.items()])
     cell = F.array(*[F.lit(edge if i % 4 == 0 else 0.0) for i in range(9)])
     key = F.col("l_orderkey")
     structures = lines.select("l_orderkey").distinct().select(key.alias("structure_id"), key.cast("string").alias("id"), cell.alias("cell"), (key % 2 == 0 if periodic is None else F.lit(periodic)).alias("periodic"))
