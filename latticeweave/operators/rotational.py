@@ -103,18 +103,23 @@ class _Bispectrum(_Local):
             near = (e.r > NEAREST) & (e.r <= within) & ~e.own
             x = (e.r - rmin) / np.maximum(within - rmin, 1e-12)
             fade = np.where(near, np.where(x <= 0, 1.0, 0.5 * (np.cos(pi * x) + 1)) * self.weights(e.z, False), 0.0)
-            d = np.where(near[:, None], e.d, [0.0, 0.0, 1.0])
+            kept, own = np.flatnonzero(near), e.centres()[near]
+            heads = np.flatnonzero(np.diff(own, prepend=-1))
             sums = []
-            for j, values in enumerate(rotation_matrices(d, self.rfac0 * pi * x, top)):
-                total = np.eye(j + 1) * self.weights(e.zi, True)[:, None, None] + e.total(values * fade[:, None, None])
+            for j, values in enumerate(rotation_matrices(e.d[kept], self.rfac0 * pi * x[kept], top)):
+                total = np.eye(j + 1, dtype=complex) * self.weights(e.zi, True)[:, None, None]
+                if len(kept):
+                    total[own[heads]] += np.add.reduceat(values * fade[kept, None, None], heads, axis=0)
                 sums.append(total * (4 * pi / sqrt(j + 1) if self.normalize_U else 1.0))
             out = np.empty((len(e.zi), len(parts)))
             for at, (a, b, c) in enumerate(parts):
-                # Couple rows with rows, then columns with columns, as two matrix products.
-                table = tables[a, b, c]
-                half = np.tensordot(sums[a], table, (1, 0)).transpose(0, 3, 1, 2).reshape(len(out), -1, b + 1) @ sums[b]
-                product = half.reshape(len(out), c + 1, -1) @ table.reshape(-1, c + 1)
-                out[:, at] = (sums[c].conj() * product).sum((1, 2)).real
+                # Couple rows with rows, then columns with columns, as two matrix products. A matrix turned by half a
+                # turn is its conjugate but for signs, so the lower half of the rows adds what the upper half does.
+                table, rows = tables[a, b, c], c // 2 + 1
+                half = np.tensordot(sums[a], table[:, :, :rows], (1, 0)).transpose(0, 3, 1, 2).reshape(len(out), -1, b + 1) @ sums[b]
+                product = half.reshape(len(out), rows, -1) @ table.reshape(-1, c + 1)
+                twice = np.where(2 * np.arange(rows) == c, 1.0, 2.0)
+                out[:, at] = (sums[c][:, :rows].conj() * product).sum(2).real @ twice
             return out
 
         return invariants
