@@ -8,16 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from math import erf, pi, sqrt
+from math import pi, sqrt
 
 import numpy as np
 
+from ..functions.special import erf, smooth
 from .base import require
 from .local import Edges, _Local, harmonics, inverse_root, scaled_kummer
 
 #: Spectra shorter than this are not made unit vectors.
 FLOOR = 1e-5
-_erf = np.vectorize(erf, otypes=[float])
 
 
 def moments(centre: np.ndarray, width: np.ndarray, low: float, high: float, count: int) -> np.ndarray:
@@ -28,7 +28,7 @@ def moments(centre: np.ndarray, width: np.ndarray, low: float, high: float, coun
     at = lambda x: square * np.exp(-((x - centre) ** 2) / (2 * square))
     upper = at(high) if high < 1 else np.zeros_like(centre)
     lower, root = at(low), sqrt(2) * width
-    found = [np.zeros_like(centre), sqrt(pi / 2) * width * (_erf((high - centre) / root) - _erf((low - centre) / root))]
+    found = [np.zeros_like(centre), sqrt(pi / 2) * width * (erf((high - centre) / root) - erf((low - centre) / root))]
     for k in range(count + 2):
         found.append((1 - centre) * found[-1] + k * square * found[-2] + upper * (1 - high) ** k - lower * (1 - low) ** k)
     return np.stack([sqrt(2 * k + 5) * found[k + 3] for k in range(1, count + 1)], 1) if count else np.zeros((len(centre), 0))
@@ -166,7 +166,7 @@ class SOAPTurbo(_Local):
                 values[:, :powers] += damping[:, None] * moments(centre, narrow, soft, 1.0, powers)
             if origin is not None:
                 both = np.sqrt(origin**2 + width**2)
-                values[:, -1] = np.exp(-(x**2) / (2 * both**2)) * sqrt(pi / 2) * width * origin / both * (1 + _erf(origin / width * x / (sqrt(2) * both))) * sqrt(2 / origin) / pi**0.25
+                values[:, -1] = np.exp(-(x**2) / (2 * both**2)) * sqrt(pi / 2) * width * origin / both * (1 + erf(origin / width * x / (sqrt(2) * both))) * sqrt(2 / origin) / pi**0.25
                 size = np.where(own, 0.0, size)
             return (values * (size * (x < 1))[:, None]) @ root * sqrt(self.rcut_hard)
 
@@ -184,22 +184,41 @@ class SOAPTurbo(_Local):
         sigma, growth = (np.array(self.each(n)) for n in ("atom_sigma_t", "atom_sigma_t_scaling"))
         allowed = np.array([self.central_species is None or s in self.central_species for s in self.species])
 
+        def turning(t: int) -> Callable[[np.ndarray], np.ndarray]:
+            def plain(r: np.ndarray) -> np.ndarray:
+                width, out = sigma[t] + growth[t] * r, []
+                z, front = (r / width) ** 2, 4 * pi * (self.rcut_hard / width) ** 2
+                for k in range(self.l_max + 1):
+                    front = front * z / (2 * k + 1) if k else front
+                    out.append(front * scaled_kummer(k + 1.0, 2 * k + 2.0, 2 * z))
+                return np.stack(out, 1)
+
+            return smooth(plain, self.rcut_hard)
+
+        turns = [turning(t) for t in range(len(self.species))]
+        # Pairs kept as they are need no product with their weights.
+        picked = weights.argmax(1) if self.compression in ("off", "trivial") else None
+
         def spectrum(e: Edges) -> np.ndarray:
-            width = sigma[e.t] + growth[e.t] * e.r
-            z, front, y = (e.r / width) ** 2, 4 * pi * (self.rcut_hard / width) ** 2, harmonics(e.d, self.l_max)
-            for k in range(self.l_max + 1):
-                front = front * z / (2 * k + 1) if k else front
-                y[:, k * k : (k + 1) ** 2] *= (front * scaled_kummer(k + 1.0, 2 * k + 2.0, 2 * z))[:, None]
-            parts = []
+            y, parts = harmonics(e.d, self.l_max), []
             for t, (find, origin) in enumerate(radial):
-                g = find(e.r, e.own) * (e.t == t)[:, None]
-                c = e.total(g[:, :, None] * y[:, None, :])
+                of, c = np.flatnonzero(e.t == t), np.zeros((len(e.zi), self.each("alpha_max")[t], y.shape[1]))
+                if len(of):
+                    g, turned, r = find(e.r[of], e.own[of]), y[of], np.minimum(e.r[of], self.rcut_hard)
+                    for k, v in enumerate(turns[t](r).T):
+                        turned[:, k * k : (k + 1) ** 2] *= v[:, None]
+                    own = e.centres()[of]
+                    heads = np.flatnonzero(np.diff(own, prepend=-1))
+                    c[own[heads]] = np.add.reduceat(g[:, :, None] * turned[:, None, :], heads, axis=0)
                 if origin is not None:
                     c[e.ti == t, :, 0] += origin
                 parts.append(c)
-            c = np.concatenate(parts, axis=1)
-            power = np.stack([np.einsum("xpm,xqm->xpq", c[:, :, k * k : (k + 1) ** 2], c[:, :, k * k : (k + 1) ** 2])[:, first, second] * twice for k in range(self.l_max + 1)], 2)
-            found = np.einsum("kp,xpl->xkl", weights, power, optimize=True).reshape(len(c), -1) * allowed[e.ti][:, None]
+            # Centres come last, where products run over them without a gap.
+            c = np.ascontiguousarray(np.moveaxis(np.concatenate(parts, axis=1), 0, -1))
+            blocks = [c[:, k * k : (k + 1) ** 2] for k in range(self.l_max + 1)]
+            power = np.stack([np.einsum("pmx,qmx->pqx", b, b)[first, second] * twice[:, None] for b in blocks], 1)
+            kept = np.tensordot(weights, power, (1, 0)) if picked is None else power[picked]
+            found = kept.reshape(-1, c.shape[-1]).T * allowed[e.ti][:, None]
             norm = np.sqrt((found * found).sum(1, keepdims=True))
             return found / np.where(norm < FLOOR, 1.0, norm)
 
