@@ -5,11 +5,14 @@ import pytest
 
 from latticeweave.functions.special import smooth
 from latticeweave.operators.local import SOAP, SphericalExpansionByPair
+from latticeweave.operators.longrange import LodeSphericalExpansion
 from latticeweave.operators.neural import NEP
+from latticeweave.operators.pairs import CoulombMatrix, EwaldSumMatrix, SineMatrix
 from latticeweave.operators.rotational import SO4
+from latticeweave.operators.tensors import LMBTR, valle_oganov
 from latticeweave.plans import gathered
 from latticeweave.plans.edges import neighbor_edges
-from latticeweave.plans.queries import LOCAL, QUERIES, SPECIES, neural_model, rounded
+from latticeweave.plans.queries import LOCAL, QUERIES, SPECIES, TENSORS, neural_model, rounded
 from latticeweave.sources.structures import from_frames
 
 SF = "/root/testdata/sf0.001"
@@ -74,7 +77,37 @@ def test_small_and_large_structures_give_the_same(tables, monkeypatch, name):
         np.testing.assert_allclose(np.array(found[limit]), np.array(found[0]), atol=1e-7)
 
 
-STREAMED = [*LOCAL, "mtp", "nep_low", "nep_predict"]
+@pytest.fixture(scope="module")
+def crystals(spark):
+    """Of three cells, with more than one structure of a size and a cell."""
+    rng, other = np.random.default_rng(8), [[5.0, 0.0, 0.4], [0.0, 4.2, 0.0], [0.3, 0.0, 3.9]]
+    sizes = [(3, CELL), (2, other), (1, CELL), (3, CELL), (6, CELL), (4, other), (4, other)]
+    return from_frames(spark, [{"numbers": rng.choice(SPECIES, n).tolist(), "positions": rng.uniform(-6, 6, (n, 3)).tolist(), "cell": c, "pbc": True} for n, c in sizes])
+
+
+PERIODIC = {
+    "lode": LodeSphericalExpansion(SPECIES, 3.5, 0.5, 2, 3, 2.5),
+    "coulomb": CoulombMatrix(8), "sine": SineMatrix(8), "sine spectrum": SineMatrix(8, "eigenspectrum"), "ewald": EwaldSumMatrix(8, "none"),
+    "distances": valle_oganov(SPECIES, n=20, sigma=0.2, r_cut=3.0), "angles": valle_oganov(SPECIES, "angle", n=19, sigma=8.0, r_cut=3.0),
+    "numbers": TENSORS["mbtr_atomic_number"], "unit": TENSORS["mbtr_distance"], "local": TENSORS["lmbtr_distance"], "local angles": LMBTR(SPECIES, "angle", grid_max=180.0, grid_n=7, grid_sigma=9.0, weighting="inverse_square", r_cut=3.0),
+}
+
+
+@pytest.mark.parametrize("name", PERIODIC)
+def test_matrices_waves_and_tensors_of_small_and_large_structures(crystals, monkeypatch, name):
+    """limit 3: some stream, some meet in joins. Values of rounding errors alone may be rows or not."""
+    found = {}
+    monkeypatch.setattr(gathered, "CANDIDATES", 200)
+    for limit in (0, 3):
+        monkeypatch.setattr(gathered, "LARGE", limit)
+        frame = PERIODIC[name].plan(*crystals).toPandas()
+        frame = frame[(frame.value.abs() > 1e-9) | (name != "lode")]
+        found[limit] = np.array(sorted_rows(frame, 12))
+    assert len(found[0]) == len(found[3]) > 0
+    np.testing.assert_allclose(found[3], found[0], rtol=1e-7, atol=1e-8)
+
+
+STREAMED = [*LOCAL, "mtp", "nep_low", "nep_predict", "lode_spherical_expansion", "coulomb_matrix_sorted", "sine_matrix_spectrum", "ewald_sum_matrix", *TENSORS]
 
 
 @pytest.mark.parametrize("name", STREAMED)
