@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import erfc, log, pi, sqrt
+from functools import partial
+from math import log, pi, sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import erf
 from ..plans.edges import framed, half_list, neighbor_edges
+from ..plans.gathered import Run, batch, inverses, mapped, runs, volumes
 from .base import Operator, require, type_index
 
 #: Distances of a structure held at once.
 PIECE = 1 << 21
-_erfc = np.vectorize(erfc, otypes=[float])
 
 
 @dataclass(frozen=True)
@@ -104,6 +106,15 @@ def _spectra(batches):
             yield pd.concat(found)
 
 
+def _eigenvalues(m: np.ndarray) -> np.ndarray:
+    """Of symmetric matrices, largest magnitude first; nan where one is not finite."""
+    finite = np.isfinite(m).all((1, 2))
+    values = np.full(m.shape[:2], np.nan)
+    found = np.linalg.eigvalsh(m[finite])
+    values[finite] = np.take_along_axis(found, np.argsort(-np.abs(found), axis=1, kind="stable"), 1)
+    return values
+
+
 @dataclass(frozen=True)
 class _PairMatrix(Operator):
     n_atoms_max: int | None = None
@@ -122,8 +133,7 @@ class _PairMatrix(Operator):
 
     def sized(self, atoms: DataFrame) -> int:
         """Row length: the given one, or the largest structure's."""
-        most = atoms.agg(F.max("atom_index")).first()[0]
-        most = 0 if most is None else most + 1
+        most = atoms.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         require(self.n_atoms_max is None or most <= self.n_atoms_max, "a structure has more than n_atoms_max atoms", "n_atoms_max")
         return self.n_atoms_max or most
 
@@ -131,8 +141,45 @@ class _PairMatrix(Operator):
         """structure_id, i, j, value."""
         raise NotImplementedError
 
+    def dense(self, run: Run, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(structures, n, n) of the structures `which` of n atoms each, of one cell; at: (structures, n) their atoms."""
+        raise NotImplementedError
+
+    def streamed(self, n: int, batches):
+        names = ["structure_id", "feature", "value"]
+        for run in runs(batches):
+            cells, cell = np.unique(run.cell.reshape(-1, 9), axis=0, return_inverse=True)
+            group = run.sizes * len(cells) + cell.ravel()
+            for value in np.unique(group):
+                every = np.flatnonzero(group == value)
+                size = int(run.sizes[every[0]])
+                step = max(1, PIECE // (32 * size * size))
+                for start in range(0, len(every), step):
+                    which = every[start : start + step]
+                    at = run.starts[which][:, None] + np.arange(size)
+                    at = np.take_along_axis(at, np.argsort(run.index[at], axis=1, kind="stable"), 1)
+                    m, place = self.dense(run, which, at), run.index[at]
+                    sid = run.sid[run.starts[which]]
+                    if self.permutation == "eigenspectrum":
+                        values = _eigenvalues(m)
+                        yield batch(names, [np.repeat(sid, size), np.tile(np.arange(size, dtype=np.int32), len(sid)), values.ravel()])
+                        continue
+                    if self.permutation == "sorted_l2":
+                        # As in SQL: norms equal but for rounding keep the atoms' order, compared at twelve digits.
+                        norms = np.array([float("%.12e" % v) for v in (m * m).sum(2).ravel()]).reshape(place.shape)
+                        order = np.argsort(-norms, axis=1, kind="stable")
+                        m = np.take_along_axis(np.take_along_axis(m, order[:, :, None], 1), order[:, None, :], 2)
+                        place = np.broadcast_to(np.arange(size), place.shape)
+                    feature = (place[:, :, None] * n + place[:, None, :]).astype(np.int32)
+                    yield batch(names, [np.repeat(sid, size * size), feature.ravel(), m.ravel()])
+
     def plan(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
         n = self.sized(atoms)
+        known = structures.where("periodic") if self.periodic_only else structures
+        return mapped(known, atoms, partial(self.streamed, n), "structure_id long, feature int, value double", lambda above: self.gathered(structures, above, n))
+
+    def gathered(self, structures: DataFrame, atoms: DataFrame, n: int) -> DataFrame:
+        """plan() of large structures."""
         cells = self.elements(structures, atoms)
         if self.permutation == "eigenspectrum":
             rows = cells.groupBy("structure_id").agg(F.collect_list(F.struct("i", "j", "value")).alias("m"))
@@ -159,6 +206,12 @@ class _PairMatrix(Operator):
             return replace(self, n_atoms_max=max(1, self.sized(atoms))).compute(structures, atoms)
         return super().compute(structures, atoms)
 
+    def completed(self, m: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """With the nuclear charge's power on the diagonal."""
+        own = np.arange(z.shape[1])
+        m[:, own, own] = 0.5 * z**self.exponent
+        return m
+
     def diagonal(self):
         return 0.5 * F.pow(F.col("zi").cast("double"), F.lit(self.exponent))
 
@@ -167,6 +220,12 @@ class _PairMatrix(Operator):
 class CoulombMatrix(_PairMatrix):
     """Half the nuclear charge's power on the diagonal, Zi Zj / r elsewhere (infinite where atoms coincide)."""
 
+    def dense(self, run: Run, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+        z, p = run.z[at].astype(float), run.at[at]
+        d = p[:, :, None] - p[:, None, :]
+        r = np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+        return self.completed(np.where(r > 0, z[:, :, None] * z[:, None, :] / np.where(r > 0, r, 1.0), np.inf), z)
+
     def elements(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
         dx, dy, dz = (F.col(a) - F.col(b) for a, b in (("xi", "xj"), ("yi", "yj"), ("ci", "cj")))
         r = F.sqrt(dx * dx + dy * dy + dz * dz)
@@ -180,6 +239,13 @@ class SineMatrix(_PairMatrix):
 
     periodic_only = True
 
+    def dense(self, run: Run, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+        z, p, cell = run.z[at].astype(float), run.at[at], run.cell[which[0]]
+        inverse = inverses(cell[None], np.array([True]))[0]
+        v = np.sin(pi * ((p[:, :, None] - p[:, None, :]) @ inverse)) ** 2 @ cell
+        r = np.sqrt((v * v).sum(-1))
+        return self.completed(np.where(r > 1e-14, z[:, :, None] * z[:, None, :] / np.maximum(r, 1e-14), 0.0), z)
+
     def elements(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
         frames = framed(structures.where("periodic"), 1.0).select("structure_id", "cell", "inverse")
         d = [F.col(a) - F.col(b) for a, b in (("xi", "xj"), ("yi", "yj"), ("ci", "cj"))]
@@ -228,6 +294,14 @@ class EwaldSumMatrix(_PairMatrix):
         gc = 2 * reach * F.col("alpha") if self.g_cut is None else F.lit(float(self.g_cut))
         return found.withColumns({"rc": rc, "gc": gc})
 
+    def dense(self, run: Run, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+        cell = run.cell[which[0]]
+        volume, reach = float(volumes(cell[None])[0]), sqrt(-log(self.accuracy))
+        alpha = float(self.a) if self.a is not None and self.a > 0 else sqrt(pi) * (at.shape[1] * self.w / (volume * volume)) ** (1 / 6)
+        rc = reach / alpha if self.r_cut is None else float(self.r_cut)
+        gc = 2 * reach * alpha if self.g_cut is None else float(self.g_cut)
+        return ewald_stack(cell, run.z[at].astype(float), run.at[at], volume, alpha, rc, gc)
+
     def elements(self, structures: DataFrame, atoms: DataFrame) -> DataFrame:
         """A structure's atoms meet in one row, as its matrix does later; sums over images and waves are made there."""
         gathered = atoms.groupBy("structure_id").agg(F.collect_list(F.struct("atom_index", "z", "x", "y", "zc")).alias("atoms"))
@@ -249,7 +323,7 @@ def ewald_sums(cell: np.ndarray, z: np.ndarray, at: np.ndarray, volume: float, a
         near = (square > 1e-16) & (square <= rc * rc)
         r = np.sqrt(square[near])
         values = np.zeros(square.shape)
-        values[near] = _erfc(alpha * r) / r
+        values[near] = (1 - erf(alpha * r)) / r
         total += values.sum(0)
     tops = np.floor(gc * np.sqrt((cell**2).sum(1)) / (2 * pi)).astype(int)
     n = np.stack(np.meshgrid(*[np.arange(-t, t + 1) for t in tops], indexing="ij"), -1).reshape(-1, 3)
@@ -264,6 +338,43 @@ def ewald_sums(cell: np.ndarray, z: np.ndarray, at: np.ndarray, volume: float, a
     return charges * total * (1 - own / 2) - own * charges * alpha / sqrt(pi)
 
 
+def ewald_stack(cell: np.ndarray, z: np.ndarray, at: np.ndarray, volume: float, alpha: float, rc: float, gc: float) -> np.ndarray:
+    """ewald_sums of structures (structures, atoms) of one cell and size: each pair once, which both its places get."""
+    inverse, n = np.linalg.inv(cell), z.shape[1]
+    i, j = np.triu_indices(n)
+    apart = ((at[:, j] - at[:, i]) @ inverse).reshape(-1, 3)
+    apart -= np.round(apart)
+    tops = np.floor(rc * np.sqrt((inverse**2).sum(0)) + 0.5).astype(int)
+    shifts = np.stack(np.meshgrid(*[np.arange(-t, t + 1) for t in tops], indexing="ij"), -1).reshape(-1, 3) @ cell
+    # Pairs are at most half the cell's diagonals apart, so farther shifts reach no pair.
+    far = np.sqrt(((np.array([[1, 1, 1], [1, 1, -1], [1, -1, 1], [-1, 1, 1]]) @ cell) ** 2).sum(1)).max() / 2
+    shifts = shifts[np.sqrt((shifts * shifts).sum(1)) <= rc + far * (1 + 1e-9)]
+    near, d = np.zeros(len(apart)), apart @ cell
+    step = max(1, PIECE // (16 * max(1, len(shifts))))
+    for start in range(0, len(d), step):
+        part = d[start : start + step]
+        square = sum((part[:, c, None] + shifts[:, c]) ** 2 for c in range(3))
+        row, column = np.nonzero((square > 1e-16) & (square <= rc * rc))
+        r = np.sqrt(square[row, column])
+        near[start : start + step] = np.bincount(row, (1 - erf(alpha * r)) / r, len(part))
+    total = np.full((len(z), n, n), -pi / (volume * alpha**2))
+    total[:, i, j] += near.reshape(len(z), -1)
+    total[:, j, i] = total[:, i, j]
+    tops = np.floor(gc * np.sqrt((cell**2).sum(1)) / (2 * pi)).astype(int)
+    m = np.stack(np.meshgrid(*[np.arange(-t, t + 1) for t in tops], indexing="ij"), -1).reshape(-1, 3)
+    g = 2 * pi * m[len(m) // 2 + 1 :] @ inverse.T
+    q = (g * g).sum(1)
+    g, q = g[q <= gc * gc], q[q <= gc * gc]
+    factor = 8 * pi / volume * np.exp(-q / (4 * alpha**2)) / q
+    step = max(1, PIECE // (8 * n * max(1, len(g))))
+    for start in range(0, len(z), step):
+        phase = at[start : start + step] @ g.T
+        c, s = np.cos(phase), np.sin(phase)
+        total[start : start + step] += (c * factor) @ c.transpose(0, 2, 1) + (s * factor) @ s.transpose(0, 2, 1)
+    charges, own = z[:, :, None] * z[:, None, :], np.eye(n)
+    return charges * total * (1 - own / 2) - own * charges * alpha / sqrt(pi)
+
+
 def _ewald_rows(batches):
     import pyarrow as pa
 
